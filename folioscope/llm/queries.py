@@ -6,14 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .packing import op7_best_fit_packing
+from .quality_rules import OP10_SQL, op10_quality_rules
+from .source_mixing import op3_source_mixing
 from .substring_dedup import op2_substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_substring_dedup": op2_substring_dedup,
+        "op3_source_mixing": op3_source_mixing,
+        "op7_best_fit_packing": op7_best_fit_packing,
+        "op10_quality_rules": op10_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op10_quality_rules": OP10_SQL,
+    }

@@ -16,7 +16,8 @@ document at an earlier word). Windows are judged on the input.
    one row for each buffer and not for each document. Grouping by hash then finds
    the earliest start exactly; a window that the sketch overestimated is alone in
    its group and nothing is lost.
-3. The flagged starts go to their documents, packed by document.
+3. Windows travel in runs under one minimiser, and flagged starts go to their
+   documents in runs as well.
 
 The bitmap has 2**bits cells, about 8 for each expected entry, up to ``max_bits``
 (2**30 cells, 128 MB); beyond that only the prefilter weakens. Nothing else is
@@ -47,7 +48,7 @@ from .arrowtext import binary_column, chunks, gather, mix, powers, rolling, slid
 BLOCKS = 256
 #: Windows that a task holds before it settles and emits them.
 BUFFER = 1 << 20
-_SECOND = 0xA24BAED4963EE407
+_SECOND = 0xA24BAED4963EE407  # odd
 
 
 def _windows(data: np.ndarray, offsets: np.ndarray, width: int):
@@ -133,10 +134,32 @@ def sketch_bits(docs: DataFrame, entries_per_byte: float, max_bits: int) -> int:
     return max(20, min(max_bits, math.ceil(math.log2(max(1, size * entries_per_byte * 8)))))
 
 
+def _runs(ids: np.ndarray, pos: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First index and length of each run of consecutive places of one document; input sorted by (ids, pos)."""
+    if len(ids) == 0:
+        return (np.zeros(0, np.int64),) * 2
+    cut = np.ones(len(ids), bool)
+    cut[1:] = (ids[1:] != ids[:-1]) | (pos[1:] != pos[:-1] + 1)
+    for x in same:
+        cut[1:] |= x[1:] != x[:-1]
+    at = np.flatnonzero(cut)
+    return at, np.diff(np.r_[at, len(ids)])
+
+
+def _first_of_each(h1: np.ndarray, h2: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, first): the order by hash, document and place, and which in it start their sequence first."""
+    order = np.lexsort((pos, ids, h2, h1))
+    h1, h2, ids, pos = h1[order], h2[order], ids[order], pos[order]
+    first = np.ones(len(h1), bool)
+    first[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+    lead = np.flatnonzero(first)[np.cumsum(first) - 1]
+    return order, (ids == ids[lead]) & (pos == pos[lead])
+
+
 def repeated_starts(docs: DataFrame, width: int = 20, max_bits: int = 30) -> DataFrame:
-    """(doc_id, starts binary): ranks of the words at which a repeated, not first, window starts.
+    """(doc_id, span long): runs of words at which a repeated, not first, window starts.
 
-    ``starts`` holds little-endian int32 values; a document may have many rows.
+    ``span`` is the rank of the run's first word times 2**24, plus its length.
     """
     spark = docs.sparkSession
     texts = docs.where("doc_id is not null").select("doc_id", "text")
@@ -160,30 +183,27 @@ def repeated_starts(docs: DataFrame, width: int = 20, max_bits: int = 30) -> Dat
 
     sketch = spark.sparkContext.broadcast(merged_sketch(texts.select("text").mapInArrow(count, "block int, salt int, kind int, once binary, twice binary"), bits))
 
-    names = ["h1", "h2", "doc_id", "starts"]
+    names = ["key", "doc_id", "span", "hashes"]
+
+    def known(ids: np.ndarray, pos: np.ndarray) -> tuple[pa.Array, pa.Array]:
+        order = np.lexsort((pos, ids))
+        ids, pos = ids[order], pos[order]
+        at, lengths = _runs(ids, pos)
+        return pa.array(ids[at]), pa.array((pos[at] << 24) + lengths)
 
     def settle(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        """Emit the buffer's first start of each sequence; flag the others of the buffer here."""
-        h1, h2, ids, pos = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((pos, ids, h2, h1))
-        h1, h2, ids, pos = h1[order], h2[order], ids[order], pos[order]
-        first = np.ones(len(h1), bool)
-        first[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-        lead = np.flatnonzero(first)[np.cumsum(first) - 1]
-        first |= (ids == ids[lead]) & (pos == pos[lead])
-        yield from flagged(ids[~first], pos[~first])
-        n = int(first.sum())
-        yield pa.RecordBatch.from_arrays([pa.array(h1[first].view(np.int64)), pa.array(h2[first].view(np.int64)), pa.array(ids[first]), binary_column(pos[first].astype("<i4").view(np.uint8), np.full(n, 4))], names=names)
-
-    def flagged(ids: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Known repeats, packed by document; no h2, and h1 only deals them out."""
-        if len(ids):
-            order = np.lexsort((pos, ids))
-            ids, pos = ids[order], pos[order]
-            cut = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-            lengths = np.diff(np.r_[cut, len(ids)])
-            own = ids[cut]
-            yield pa.RecordBatch.from_arrays([pa.array(mix(own.astype(np.uint64)).view(np.int64)), pa.nulls(len(own), pa.int64()), pa.array(own), binary_column(pos.astype("<i4").view(np.uint8), lengths * 4)], names=names)
+        """Emit the buffer's first start of each sequence, in runs under one minimiser; flag the others here."""
+        h1, h2, ids, pos, least = (np.concatenate(x) for x in zip(*held, strict=True))
+        order, first = _first_of_each(h1, h2, ids, pos)
+        late, order = order[~first], order[first]
+        if len(late):
+            own, spans = known(ids[late], pos[late])
+            yield pa.RecordBatch.from_arrays([pa.array(mix(own.to_numpy().astype(np.uint64)).view(np.int64)), own, spans, pa.nulls(len(own), pa.binary())], names=names)
+        order = order[np.lexsort((pos[order], ids[order]))]
+        ids, pos, least = ids[order], pos[order], least[order]
+        at, lengths = _runs(ids, pos, least)
+        both = np.stack([h1[order], h2[order]], axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(mix(least[at]).view(np.int64)), pa.array(ids[at]), pa.array((pos[at] << 24) + lengths), binary_column(both.view(np.uint8), lengths * 16)], names=names)
 
     def emit(batches) -> Iterator[pa.RecordBatch]:
         bitmap = np.frombuffer(sketch.value, np.uint8)
@@ -197,7 +217,7 @@ def repeated_starts(docs: DataFrame, width: int = 20, max_bits: int = 30) -> Dat
                 cells = _cells(least[at], bits)
                 at = at[(bitmap[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 > 0]
                 if len(at):
-                    held.append((rolling(hashes, width)[at], rolling(hashes, width, _SECOND | 1)[at], ids[lo + rows[at]], at - first[rows[at]]))
+                    held.append((rolling(hashes, width)[at], rolling(hashes, width, _SECOND)[at], ids[lo + rows[at]], at - first[rows[at]], least[at]))
                     n += len(at)
                 if n > BUFFER:
                     yield from settle(held)
@@ -208,28 +228,28 @@ def repeated_starts(docs: DataFrame, width: int = 20, max_bits: int = 30) -> Dat
     def find(batches) -> Iterator[pa.RecordBatch]:
         held = []
         for batch in batches:
-            known = batch.filter(pa.compute.is_null(batch.column("h2")))
-            if known.num_rows:
-                yield pa.RecordBatch.from_arrays([known.column("doc_id"), known.column("starts")], names=["doc_id", "starts"])
-            rest = batch.filter(pa.compute.is_valid(batch.column("h2")))
+            settled = batch.filter(pa.compute.is_null(batch.column("hashes")))
+            if settled.num_rows:
+                yield pa.RecordBatch.from_arrays([settled.column("doc_id"), settled.column("span")], names=["doc_id", "span"])
+            rest = batch.filter(pa.compute.is_valid(batch.column("hashes")))
             if rest.num_rows:
-                pos, _ = text_buffers(rest.column("starts"))
-                held.append((rest.column("h1").to_numpy(), rest.column("h2").to_numpy(), rest.column("doc_id").to_numpy(), pos.view("<i4")))
+                raw, _ = text_buffers(rest.column("hashes"))
+                both = raw.view(np.uint64).reshape(-1, 2)
+                span = rest.column("span").to_numpy()
+                lengths = span & 0xFFFFFF
+                inner = np.arange(len(both)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                held.append((both[:, 0], both[:, 1], np.repeat(rest.column("doc_id").to_numpy(), lengths), np.repeat(span >> 24, lengths) + inner))
         if held:
             h1, h2, ids, pos = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((pos, ids, h2, h1))
-            h1, h2, ids, pos = h1[order], h2[order], ids[order], pos[order]
-            first = np.ones(len(h1), bool)
-            first[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-            lead = np.flatnonzero(first)[np.cumsum(first) - 1]
-            later = (ids != ids[lead]) | (pos != pos[lead])
-            for out in flagged(ids[later], pos[later]):
-                yield pa.RecordBatch.from_arrays([out.column("doc_id"), out.column("starts")], names=["doc_id", "starts"])
-
-    emitted = texts.mapInArrow(emit, "h1 long, h2 long, doc_id long, starts binary")
+            order, first = _first_of_each(h1, h2, ids, pos)
+            late = order[~first]
+            if len(late):
+                yield pa.RecordBatch.from_arrays([*known(ids[late], pos[late])], names=["doc_id", "span"])
+
+    emitted = texts.mapInArrow(emit, "key long, doc_id long, span long, hashes binary")
     # Sized so that a task holds a few million windows; the number follows the input.
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (1 << max(0, bits - 24)))
-    return emitted.repartition(parts, "h1").mapInArrow(find, "doc_id long, starts binary")
+    return emitted.repartition(parts, "key").mapInArrow(find, "doc_id long, span long")
 
 
 def dedup_words(docs: DataFrame, width: int = 20, max_bits: int = 30) -> DataFrame:
@@ -238,7 +258,7 @@ def dedup_words(docs: DataFrame, width: int = 20, max_bits: int = 30) -> DataFra
     ``kept_text`` is the original text where nothing is removed, else the kept
     words joined by one space; ``kept_sha256`` is always of the joined words.
     """
-    spans = repeated_starts(docs, width, max_bits).groupBy("doc_id").agg(F.collect_list("starts").alias("_starts")).withColumnRenamed("doc_id", "_doc")
+    spans = repeated_starts(docs, width, max_bits).groupBy("doc_id").agg(F.collect_list("span").alias("_spans")).withColumnRenamed("doc_id", "_doc")
     joined = docs.join(spans, docs["doc_id"] == F.col("_doc"), "left").drop("_doc")
     taken = {"n_words", "n_removed", "kept_sha256", "kept_text"}
     own = [c for c in docs.columns if c not in taken]
@@ -246,18 +266,18 @@ def dedup_words(docs: DataFrame, width: int = 20, max_bits: int = 30) -> DataFra
 
     def remove(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, starts = batch.column("text"), batch.column("_starts")
+            texts, spans = batch.column("text"), batch.column("_spans")
             n_words, n_removed, digests, kept = [], [], [], []
-            for text, blobs in zip(texts, starts, strict=True):
+            for text, runs in zip(texts, spans, strict=True):
                 text = text.as_py()
                 words = text.encode().split() if text else []
                 gone = 0
-                if blobs.is_valid and len(words) >= width:
-                    at = np.concatenate([np.frombuffer(b, "<i4") for b in blobs.as_py()])
+                if runs.is_valid and len(words) >= width:
+                    run = np.array(runs.as_py(), np.int64)
+                    at, end = run >> 24, (run >> 24) + (run & 0xFFFFFF) + width - 1
                     edge = np.zeros(len(words) + 1, np.int64)
-                    at = at[at <= len(words) - width]
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + width, -1)
+                    np.add.at(edge, np.minimum(at, len(words)), 1)
+                    np.add.at(edge, np.minimum(end, len(words)), -1)
                     keep = np.cumsum(edge[:-1]) == 0
                     gone = len(words) - int(keep.sum())
                     left = list(compress(words, keep.tolist())) if gone else words
@@ -270,7 +290,7 @@ def dedup_words(docs: DataFrame, width: int = 20, max_bits: int = 30) -> DataFra
                 kept.append(joined_words.decode() if gone else text)
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in own] + [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.string())], names=[*own, "n_words", "n_removed", "kept_sha256", "kept_text"])
 
-    return joined.select(*own, "_starts").mapInArrow(remove, schema)
+    return joined.select(*own, "_spans").mapInArrow(remove, schema)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
