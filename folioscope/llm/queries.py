@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .jaccard_join import op5_jaccard_join
 from .packing import op7_best_fit_packing
 from .quality_rules import OP10_SQL, op10_quality_rules
 from .source_mixing import op3_source_mixing
@@ -16,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_substring_dedup": op2_substring_dedup,
         "op3_source_mixing": op3_source_mixing,
+        "op5_jaccard_join": op5_jaccard_join,
         "op7_best_fit_packing": op7_best_fit_packing,
         "op10_quality_rules": op10_quality_rules,
     }
