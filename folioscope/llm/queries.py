@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .jaccard_join import op5_jaccard_join
+from .language_id import op6_language_id
 from .packing import op7_best_fit_packing
+from .quality_classifier import op9_quality_classifier
 from .quality_rules import OP10_SQL, op10_quality_rules
 from .source_mixing import op3_source_mixing
 from .substring_dedup import op2_substring_dedup
@@ -18,12 +20,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_substring_dedup": op2_substring_dedup,
         "op3_source_mixing": op3_source_mixing,
         "op5_jaccard_join": op5_jaccard_join,
+        "op6_language_id": op6_language_id,
         "op7_best_fit_packing": op7_best_fit_packing,
+        "op9_quality_classifier": op9_quality_classifier,
         "op10_quality_rules": op10_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op9_quality_classifier": op9_quality_classifier,
         "op10_quality_rules": OP10_SQL,
     }
