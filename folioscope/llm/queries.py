@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat_tools import OP4_SQL, op4_chat_formatting
 from .jaccard_join import op5_jaccard_join
 from .language_id import op6_language_id
+from .media_columns import op8_media_columns
 from .packing import op7_best_fit_packing
 from .quality_classifier import op9_quality_classifier
 from .quality_rules import OP10_SQL, op10_quality_rules
@@ -19,9 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_substring_dedup": op2_substring_dedup,
         "op3_source_mixing": op3_source_mixing,
+        "op4_chat_formatting": op4_chat_formatting,
         "op5_jaccard_join": op5_jaccard_join,
         "op6_language_id": op6_language_id,
         "op7_best_fit_packing": op7_best_fit_packing,
+        "op8_media_columns": op8_media_columns,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_quality_rules": op10_quality_rules,
     }
@@ -29,6 +33,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op8_media_columns": op8_media_columns,
         "op9_quality_classifier": op9_quality_classifier,
+        "op4_chat_formatting": OP4_SQL,
         "op10_quality_rules": OP10_SQL,
     }
