@@ -42,7 +42,7 @@ from pyspark.sql.window import Window as W
 from . import session
 from .arrowtext import binary_column, chunks, mix, rolling, text_buffers, word_hashes, word_spans
 from .components import components
-from .substring_dedup import _cells, _partial, merged_sketch
+from .sketches import filter_bits, id_filter, only
 
 CELLS_LOG = 22
 PARTS = 64
@@ -96,7 +96,7 @@ def frequency_ranks(docs: DataFrame, width: int) -> bytes:
     kind = "part int, salt int, counts binary, wide int"
     merged = docs.select("text").mapInArrow(count, kind).groupBy("part", "salt").applyInArrow(merge, kind).groupBy("part").applyInArrow(merge, kind)
     total = np.zeros((PARTS, size), np.int64)
-    for row in merged.toLocalIterator():  # PARTS rows of a fixed size
+    for row in merged.collect():  # PARTS rows of a fixed size
         total[row["part"]] = np.frombuffer(row["counts"], np.int64)
     return rank_of(total.reshape(-1)).tobytes()
 
@@ -156,30 +156,17 @@ def bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link, checked on sorted arrays of the documents concerned."""
     pairs = session.kept(bounded(pairs, sets, percent))
-    bits = max(12, min(27, 5 + int(pairs.count()).bit_length()))
-    spark = docs.sparkSession
-
-    def mark(batches) -> Iterator[pa.RecordBatch]:
-        held = []
-        for batch in batches:
-            held += [_cells(batch.column(c).to_numpy().astype(np.uint64), bits) for c in ("a", "b")]
-        if held:
-            yield _partial(bits, [np.repeat(np.unique(np.concatenate(held)), 2)], int(held[0][0]) % 64)
-
-    # A filter of documents that some pair names; others may slip through, none is lost.
-    wanted = spark.sparkContext.broadcast(merged_sketch(pairs.select("a", "b").mapInArrow(mark, "block int, salt int, kind int, once binary, twice binary"), bits))
+    bits = filter_bits(pairs.count())
+    named = id_filter(pairs.select("a", "b"), bits)
 
     def arrays(batches) -> Iterator[pa.RecordBatch]:
-        bitmap = np.frombuffer(wanted.value, np.uint8)
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy().astype(np.int64)
-            cells = _cells(ids.astype(np.uint64), bits)
-            batch = batch.filter(pa.array(((bitmap[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1) > 0))
             for lo, hi, data, offsets in chunks(*text_buffers(batch.column("text"))):
                 found = list(sets_of(data, offsets, width))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), binary_column(np.concatenate(found).view(np.uint8), np.array([8 * len(x) for x in found]))], names=["id", "set"])
 
-    elements = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(arrays, "id long, set binary").dropDuplicates(["id"])
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    elements = only(texts, named, bits).mapInArrow(arrays, "id long, set binary").dropDuplicates(["id"])
     df = pairs.join(elements.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(elements.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
 
     def check(batches) -> Iterator[pa.RecordBatch]:

@@ -32,7 +32,6 @@ An empty table gives an empty result. Other columns pass through.
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 from itertools import compress
 
@@ -42,10 +41,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import session
-from .arrowtext import binary_column, chunks, gather, mix, powers, rolling, sliding, text_buffers, word_hashes, word_spans
+from .arrowtext import binary_column, chunks, mix, rolling, sliding, text_buffers, word_hashes, word_spans
+from .sketches import cells, merged_sketch, partial_sketch, seen, sketch_bits, split_by_ids
 
-#: Blocks of the bitmap that merge apart from one another.
-BLOCKS = 256
 #: Windows that a task holds before it settles and emits them.
 BUFFER = 1 << 20
 _SECOND = 0xA24BAED4963EE407  # odd
@@ -75,65 +73,6 @@ def _minimiser_places(parts: np.ndarray, least: np.ndarray, valid: np.ndarray, r
     return np.flatnonzero((sliding(padded, reach, np.maximum)[: len(parts)] == parts) & (parts > 0))
 
 
-def _cells(hashes: np.ndarray, bits: int) -> np.ndarray:
-    return (mix(hashes + np.uint64(0x632BE59BD9B4E019)) >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def merged_sketch(cells_of: DataFrame, bits: int) -> bytes:
-    """One bitmap of cells counted twice or more, from rows (block, once, twice) of partial sketches.
-
-    Partial sketches of a block merge in two steps, so no task reads more than a
-    few hundred of them whatever the number of tasks.
-    """
-    size = (1 << bits) // BLOCKS
-
-    def merge(group: pa.Table) -> pa.Table:
-        one = np.zeros(size, bool)
-        two = np.zeros(size, bool)
-        for kind, once, twice in zip(group.column("kind").to_pylist(), group.column("once"), group.column("twice"), strict=True):
-            for blob, both in ((once, False), (twice, True)):
-                if kind:
-                    seen = np.unpackbits(np.frombuffer(blob.as_py(), np.uint8)).view(bool)
-                    two |= seen if both else one & seen
-                    one |= seen
-                else:
-                    at = np.frombuffer(blob.as_py(), np.uint32)
-                    two[at[one[at]]] = True
-                    one[at] = True
-                    if both:
-                        two[at] = True
-        return pa.table({"block": group.column("block").slice(0, 1), "salt": pa.array([0], pa.int32()), "kind": pa.array([1], pa.int32()), "once": [np.packbits(one).tobytes()], "twice": [np.packbits(two).tobytes()]})
-
-    kind = "block int, salt int, kind int, once binary, twice binary"
-    level = cells_of.groupBy("block", "salt").applyInArrow(merge, kind)
-    level = level.groupBy("block").applyInArrow(merge, kind)
-    out = bytearray((1 << bits) // 8)
-    each = size // 8
-    for row in level.select("block", "twice").toLocalIterator():  # BLOCKS rows of a fixed size
-        out[row["block"] * each : (row["block"] + 1) * each] = row["twice"]
-    return bytes(out)
-
-
-def _partial(bits: int, pending: list[np.ndarray], salt: int) -> pa.RecordBatch:
-    cells = np.concatenate(pending) if pending else np.zeros(0, np.int64)
-    size = (1 << bits) // BLOCKS
-    cells, counts = np.unique(cells, return_counts=True)
-    bounds = np.searchsorted(cells, np.arange(BLOCKS + 1) * size)
-    rows = []
-    for b in range(BLOCKS):
-        lo, hi = bounds[b], bounds[b + 1]
-        if hi > lo:
-            own = (cells[lo:hi] - b * size).astype(np.uint32)
-            rows.append((b, salt, 0, own[counts[lo:hi] == 1].tobytes(), own[counts[lo:hi] > 1].tobytes()))
-    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], names=["block", "salt", "kind", "once", "twice"])
-
-
-def sketch_bits(docs: DataFrame, entries_per_byte: float, max_bits: int) -> int:
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(20, min(max_bits, math.ceil(math.log2(max(1, size * entries_per_byte * 8)))))
-
-
 def _runs(ids: np.ndarray, pos: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First index and length of each run of consecutive places of one document; input sorted by (ids, pos)."""
     if len(ids) == 0:
@@ -172,14 +111,14 @@ def repeated_starts(docs: DataFrame, width: int = 20, max_bits: int = 30) -> Dat
             for _, _, data, offsets in chunks(*text_buffers(batch.column("text"))):
                 rows, _, _, at, least, parts = _windows(data, offsets, width)
                 places = _minimiser_places(parts, least, at, width - part + 1)
-                pending.append(_cells(parts[places], bits))
+                pending.append(cells(parts[places], bits))
                 held += len(places)
                 salt = (salt * 31 + len(data)) % 64
                 if held > 4 * BUFFER:
-                    yield _partial(bits, pending, salt)
+                    yield partial_sketch(bits, pending, salt)
                     pending, held = [], 0
         if held:
-            yield _partial(bits, pending, salt)
+            yield partial_sketch(bits, pending, salt)
 
     sketch = spark.sparkContext.broadcast(merged_sketch(texts.select("text").mapInArrow(count, "block int, salt int, kind int, once binary, twice binary"), bits))
 
@@ -214,8 +153,7 @@ def repeated_starts(docs: DataFrame, width: int = 20, max_bits: int = 30) -> Dat
                 rows, first, hashes, at, least, _ = _windows(data, offsets, width)
                 if len(at) == 0:
                     continue
-                cells = _cells(least[at], bits)
-                at = at[(bitmap[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 > 0]
+                at = at[seen(bitmap, cells(least[at], bits))]
                 if len(at):
                     held.append((rolling(hashes, width)[at], rolling(hashes, width, _SECOND)[at], ids[lo + rows[at]], at - first[rows[at]], least[at]))
                     n += len(at)
@@ -258,8 +196,12 @@ def dedup_words(docs: DataFrame, width: int = 20, max_bits: int = 30) -> DataFra
     ``kept_text`` is the original text where nothing is removed, else the kept
     words joined by one space; ``kept_sha256`` is always of the joined words.
     """
-    spans = repeated_starts(docs, width, max_bits).groupBy("doc_id").agg(F.collect_list("span").alias("_spans")).withColumnRenamed("doc_id", "_doc")
-    joined = docs.join(spans, docs["doc_id"] == F.col("_doc"), "left").drop("_doc")
+    starts = session.kept_table(repeated_starts(docs, width, max_bits))
+    spans = starts.groupBy("doc_id").agg(F.collect_list("span").alias("_spans")).withColumnRenamed("doc_id", "_doc")
+    known = docs.where("doc_id is not null")
+    some, others = split_by_ids(known, starts.select("doc_id").distinct())
+    joined = some.join(spans, some["doc_id"] == F.col("_doc"), "left").drop("_doc")
+    joined = joined.unionByName(others.unionByName(docs.where("doc_id is null")).withColumn("_spans", F.lit(None).cast("array<bigint>")))
     taken = {"n_words", "n_removed", "kept_sha256", "kept_text"}
     own = [c for c in docs.columns if c not in taken]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name not in taken] + ["n_words long, n_removed long, kept_sha256 string, kept_text string"])
