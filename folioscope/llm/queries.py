@@ -15,10 +15,12 @@ from .quality_classifier import op9_quality_classifier
 from .quality_rules import OP10_SQL, op10_quality_rules
 from .source_mixing import op3_source_mixing
 from .substring_dedup import op2_substring_dedup
+from .suffix_dedup import op1_suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_dedup": op1_suffix_dedup,
         "op2_substring_dedup": op2_substring_dedup,
         "op3_source_mixing": op3_source_mixing,
         "op4_chat_formatting": op4_chat_formatting,
