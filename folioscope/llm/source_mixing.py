@@ -43,8 +43,7 @@ FILL = 256
 
 
 def word_count(text: Column) -> Column:
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), session.SPACE_CLASS + "+"), lambda w: w != "")
-    return F.size(words).cast("long")
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), session.SPACE_CLASS + "+"), "")).cast("long")
 
 
 def keyed(docs: DataFrame, seed: int) -> DataFrame:
@@ -115,13 +114,18 @@ def split_quotas(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
     return nodes.withColumnRenamed("node", "shard")
 
 
-def mix_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, boost: float = 1.5, most: int = 2, levels: int = 4, seed: int = 17) -> DataFrame:
-    """One row for each source: size, target, base passes, what else it takes, and the shard of each taken block.
+def sized(docs: DataFrame, seed: int = 17) -> DataFrame:
+    """(doc_id, source, size, _h, _b), written once: all that planning reads, so texts are read once."""
+    return session.kept_table(keyed(docs.select("doc_id", "source", "text"), seed).drop("text"))
+
+
+def mix_plan(d: DataFrame, weights: tuple[float, ...] = WEIGHTS, boost: float = 1.5, most: int = 2, levels: int = 4, seed: int = 17) -> DataFrame:
+    """From ``sized`` rows, one row for each source: size, target, base passes, what else it takes, and the shard of each taken block.
 
     Window and array work here is over sources times blocks; documents enter only
     as sums by block and, where the target falls, as one block's (hash, size).
     """
-    d = keyed(docs.select("doc_id", "text", "source"), seed).select("source", "size", "_h", "_b")
+    d = d.select("source", "size", "_h", "_b")
     blocks = session.kept(d.groupBy("source", "_b").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")))
     src = targets(blocks.groupBy("source").agg(F.sum("size").alias("source_size")), weights, boost, most)
     size = F.col("source_size")
@@ -173,22 +177,28 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, boost: float
     slots = leaves.groupBy((F.col("_i") + 1).alias("_rank")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("shard", "q"))), lambda x: F.array_repeat(x["shard"], x["q"]))).alias("slots"))
     plan = plan.join(slots, F.col("rank") == F.col("_rank"), "left").drop("_rank")
     permuted = F.transform(F.array_sort(F.transform("taken_blocks", lambda x: F.struct(F.xxhash64(x, F.col("rank"), F.lit(seed)).alias("h"), x.alias("x")))), lambda x: x["x"])
-    plan = plan.withColumn("permuted", permuted)
+    # Written before it is searched below; else the optimiser sorts anew for each search.
+    plan = session.kept(plan.withColumn("permuted", permuted))
     shard_of = F.transform(F.sequence(F.lit(0), F.lit(most * BLOCKS - 1)), lambda x: F.get(F.col("slots"), F.array_position("permuted", x).cast("int") - 1))
     return session.kept(plan.withColumn("shard_of", shard_of).drop("permuted", "slots", "taken_blocks"))
 
 
-def mixed(docs: DataFrame, levels: int = 4, seed: int = 17, **options) -> DataFrame:
-    """Every row with size, source_size, target, copies, taken and the shard of each copy."""
-    plan = mix_plan(docs, levels=levels, seed=seed, **options).drop("rank", "weight", "rest")
-    clash = {"size", "source_size", "target", "copies", "taken", "shards", "base", "upto", "picks", "shard_of"}
-    df = session.join_small(keyed(docs.drop(*(c for c in docs.columns if c in clash)), seed), plan, "source", "doc_id", most=2000)
+def assigned(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Rows with size, _h and _b get source_size, target, copies, taken and the shard of each copy."""
+    df = session.join_small(rows, plan.drop("rank", "weight", "rest"), "source", "_h", most=2000)
     more = (F.col("_h") <= F.col("upto")) | F.array_contains("picks", F.col("_h"))
     df = df.withColumn("copies", F.col("base") + more.cast("int"))
     shards = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda p: F.get(F.col("shard_of"), p * BLOCKS + F.col("_b")))).otherwise(F.array().cast("array<int>"))
     return df.withColumns({"taken": F.col("copies") * F.col("size"), "shards": shards}).drop("_b", "base", "upto", "picks", "shard_of")
 
 
+def mixed(docs: DataFrame, levels: int = 4, seed: int = 17, **options) -> DataFrame:
+    """Every row and column of ``docs``, with what ``assigned`` adds."""
+    plan = mix_plan(sized(docs, seed), levels=levels, seed=seed, **options)
+    clash = {"size", "source_size", "target", "copies", "taken", "shards", "base", "upto", "picks", "shard_of"}
+    return assigned(keyed(docs.drop(*(c for c in docs.columns if c in clash)), seed), plan)
+
+
 def mixed_copies(docs: DataFrame, levels: int = 4, seed: int = 17, **options) -> DataFrame:
     """One row for each copy that the mix takes, with its shard, copy number and local shuffle key."""
     df = mixed(docs, levels, seed, **options)
@@ -202,5 +212,5 @@ def write_shards(copies: DataFrame, path: str) -> None:
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = session.documents(spark, sf_dir).select("doc_id", "source", "text")
-    return mixed(docs).select("doc_id", "size", "source_size", "target", "taken", "shards")
+    rows = sized(session.documents(spark, sf_dir))
+    return assigned(rows, mix_plan(rows)).select("doc_id", "size", "source_size", "target", "taken", "shards")
