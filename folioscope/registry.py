@@ -28,3 +28,11 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_ORACLE)
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from .operators import search  # noqa: F401
+
+
+load()
