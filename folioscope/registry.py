@@ -32,7 +32,7 @@ def oracle_sql() -> dict[str, str]:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from .operators import search  # noqa: F401
+    from .operators import aggregates, joins, search, windows  # noqa: F401
 
 
 load()
