@@ -11,8 +11,6 @@ from pyspark.sql.window import Window as W
 from ..plans import views as v
 from ..registry import register
 
-EVERYTHING = W.partitionBy()
-
 
 def rate(part: Column, whole: Column, digits: int = 6) -> Column:
     return F.coalesce(F.round(F.try_divide(part, whole), digits), F.lit(0.0))
@@ -167,7 +165,7 @@ register(
 )
 register(
     "reason_analytics",
-    lambda spark, d: v.table(spark, d, "events").groupBy(F.col("event_type").alias("reason")).agg(F.count(F.lit(1)).alias("n"), F.round(F.count(F.lit(1)) / F.sum(F.count(F.lit(1))).over(EVERYTHING), 6).alias("share")),
+    lambda spark, d: v.table(spark, d, "events").groupBy(F.col("event_type").alias("reason")).agg(F.count(F.lit(1)).alias("n"), F.round(F.count(F.lit(1)) / F.sum(F.count(F.lit(1))).over(W.partitionBy()), 6).alias("share")),
     "SELECT event_type AS reason, count(*) AS n, round(count(*) / sum(count(*)) OVER ()::DOUBLE, 6) AS share FROM events GROUP BY event_type",
 )
 register(

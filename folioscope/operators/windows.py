@@ -148,7 +148,8 @@ def adjacency(spark, d, reach: int = 2, least: int = 3):
     """First words of headings at distance 1..reach, with how often and in how many documents."""
     s = v.sections(spark, d).select("doc_id", "section_number", F.lower(F.regexp_extract("heading", "^([A-Za-z]+)", 1)).alias("word"))
     order = W.partitionBy("doc_id").orderBy("section_number")
-    s = s.select("doc_id", "word", F.explode(F.array(*(F.struct(F.lit(k).cast("long").alias("distance"), F.lead("word", k).over(order).alias("next")) for k in range(1, reach + 1)))).alias("x"))
+    s = s.select("doc_id", "word", F.array(*(F.struct(F.lit(k).cast("long").alias("distance"), F.lead("word", k).over(order).alias("next")) for k in range(1, reach + 1))).alias("x"))
+    s = s.select("doc_id", "word", F.explode("x").alias("x"))
     s = s.select("doc_id", "word", "x.*").where("next is not null and word <> '' and next <> ''")
     return s.groupBy("word", "next", "distance").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs")).where(F.col("n") >= least)
 
