@@ -55,17 +55,21 @@ def validated(calls: DataFrame, schemas=CHAT_SCHEMAS) -> DataFrame:
     return df.withColumns({"errors": F.array_sort(F.array_compact(problems)), "arguments": F.to_json("v")}).drop("v")
 
 
-def levels(calls: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """(call_id, level) from (call_id, needs): calls on the chain of dependencies before each call."""
+def levels(calls: DataFrame) -> DataFrame:
+    """(call_id, level) from (call_id, needs): calls on the chain of dependencies before each call.
+
+    A chain has fewer steps than there are calls, so pointers that are left after the
+    logarithm of their number in rounds run around on a cycle.
+    """
     known = calls.select(F.col("call_id").alias("k"))
-    at = calls.join(known, F.col("needs") == F.col("k"), "left").select("call_id", F.col("k").alias("up"), F.when(F.col("k").isNotNull(), 1).otherwise(0).alias("level"))
+    at = calls.join(known, F.col("needs") == F.col("k"), "left").select("call_id", F.col("k").alias("up"), F.when(F.col("k").isNotNull(), 1).otherwise(0).cast("long").alias("level"))
     at = session.kept(at)
-    for _ in range(most_rounds):
+    for _ in range(at.count().bit_length()):
         if at.where("up is not null").isEmpty():
             break
         above = at.select(F.col("call_id").alias("k"), F.col("up").alias("up2"), F.col("level").alias("more"))
         moved = at.join(above, F.col("up") == F.col("k"), "left")
-        at = session.kept(moved.select("call_id", F.col("up2").alias("up"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level")))
+        at = session.kept(moved.select("call_id", F.col("up2").alias("up"), (F.col("level") + F.coalesce("more", F.lit(0).cast("long"))).alias("level")))
     return at.select("call_id", F.when(F.col("up").isNull(), F.col("level")).alias("level"))
 
 

@@ -35,8 +35,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op8_media_columns": op8_media_columns,
-        "op9_quality_classifier": op9_quality_classifier,
         "op4_chat_formatting": OP4_SQL,
         "op10_quality_rules": OP10_SQL,
     }
