@@ -15,23 +15,25 @@ text); two documents link when ``100 * intersection >= percent * union``.
    checks as documents, not pairs.
 4. Second round, for exactness: where a group still holds several components, its
    documents are dealt into size-banded tiles (a factor 1.25 wide, so partners lie in
-   the same or the next band) and every pair of different components is a candidate.
-5. Each candidate is bounded from above by hashed bitmaps, then checked by
-   intersecting sorted arrays. Of a hashed set, ``|A| - bits(A and not B)`` bounds the
-   overlap.
+   the same or the next band). Pairs of different components are candidates if the
+   places of the shared element and the hashed bitmaps leave room for enough overlap:
+   of a hashed set, ``|A| - bits(A and not B)`` bounds it from above.
+5. Each candidate is checked by intersecting sorted arrays. What the second round
+   links are components of the first, so the last contraction is small.
 
 Elements are 64-bit hashes of shingles. Groups estimated hot are salted.
 
 Edge cases: null, empty and blank texts have the empty set, link with nothing and are
 their own component; a text of fewer than ``width`` words has one element, the whole
-sequence; rows that share a doc_id count once each in the output and as one document
-in the links; null doc_ids are kept with a null component and link with nothing. An
-empty table gives an empty result.
+sequence; rows that share a doc_id stand for one document in the links, and each has
+the component of its own set; null doc_ids are kept with a null component and link
+with nothing. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -93,12 +95,16 @@ def frequency_ranks(docs: DataFrame, width: int) -> bytes:
             total += np.frombuffer(raw.as_py(), np.uint8 if wide == 1 else np.int64)
         return pa.table({"part": group.column("part").slice(0, 1), "salt": pa.array([0], pa.int32()), "counts": [total.tobytes()], "wide": pa.array([8], pa.int32())})
 
+    def rank(group: pa.Table) -> pa.Table:
+        counts = np.frombuffer(merge(group).column("counts")[0].as_py(), np.int64)
+        return pa.table({"part": group.column("part").slice(0, 1), "ranks": [rank_of(counts).tobytes()]})
+
     kind = "part int, salt int, counts binary, wide int"
-    merged = docs.select("text").mapInArrow(count, kind).groupBy("part", "salt").applyInArrow(merge, kind).groupBy("part").applyInArrow(merge, kind)
-    total = np.zeros((PARTS, size), np.int64)
+    merged = docs.select("text").mapInArrow(count, kind).groupBy("part", "salt").applyInArrow(merge, kind).groupBy("part").applyInArrow(rank, "part int, ranks binary")
+    total = np.zeros((PARTS, size), np.uint8)
     for row in merged.collect():  # PARTS rows of a fixed size
-        total[row["part"]] = np.frombuffer(row["counts"], np.int64)
-    return rank_of(total.reshape(-1)).tobytes()
+        total[row["part"]] = np.frombuffer(row["ranks"], np.uint8)
+    return total.tobytes()
 
 
 def rank_of(counts: np.ndarray) -> np.ndarray:
@@ -142,20 +148,30 @@ def prefixes(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def _outside(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda s, x: s + x)
+    """Bits of ``a`` that ``b`` lacks."""
+    each = (F.bit_count(F.get(F.col(a), i).bitwiseAND(F.bitwise_not(F.get(F.col(b), i)))) for i in range(BITMAP_WORDS))
+    return reduce(lambda x, y: x + y, each)
+
+
+def _may_link(percent: int, overlap: Column) -> Column:
+    return 100 * overlap >= percent * (F.col("na") + F.col("nb") - overlap)
+
+
+def _bits_allow(percent: int) -> Column:
+    """Whether the bitmaps leave room for enough overlap of a and b."""
+    return _may_link(percent, F.least(F.col("na") - _outside("bitsa", "bitsb"), F.col("nb") - _outside("bitsb", "bitsa")))
 
 
 def bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose bitmaps don't rule the link out, with set sizes na and nb."""
     side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("n").alias("n" + x), F.col("bits").alias("bits" + x))
     df = pairs.join(side("a"), "a").join(side("b"), "b")
-    most = F.least(F.col("na") - _outside("bitsa", "bitsb"), F.col("nb") - _outside("bitsb", "bitsa"))
-    return df.where(100 * most >= percent * (F.col("na") + F.col("nb") - most)).select("a", "b", "na", "nb")
+    return df.where(_bits_allow(percent)).select("a", "b")
 
 
-def linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
+def linked(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link, checked on sorted arrays of the documents concerned."""
-    pairs = session.kept(bounded(pairs, sets, percent))
+    pairs = session.kept(pairs)
     bits = filter_bits(pairs.count())
     named = id_filter(pairs.select("a", "b"), bits)
 
@@ -186,12 +202,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = session.kept_table(prefixes(docs, width, percent))
     full = sets.where("n > 0 and doc_id is not null")
-    classes = full.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-    members = full.select("doc_id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"]).where("doc_id <> rep").select(F.col("doc_id").alias("b"), F.col("rep").alias("a"))
+    classes = session.kept(full.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")))
     reps = full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
     rows = reps.select("doc_id", "n", "short", F.posexplode("keys").alias("pos", "key"))
-    rows = rows.withColumn("short", F.col("pos") < F.col("short")).drop("pos")
+    rows = rows.withColumn("short", F.col("pos") < F.col("short"))
     hot = F.shiftrightunsigned("key", 56) >= int(rank_of(np.array([HOT]))[0])
     rows = rows.withColumn("salt", F.when(hot, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).otherwise(0))
     order = W.partitionBy("key", "salt").orderBy("n", "doc_id")
@@ -204,23 +219,32 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     heads = heads.withColumn("before", F.lag(F.struct("n", "doc_id")).over(line)).where(fits("before")).select("doc_id", F.lit(2).alias("way"), F.col("before.doc_id").alias("a"))
     often = meets.union(heads).groupBy("doc_id", "way", "a").agg(F.count(F.lit(1)).alias("times"))
     first_pairs = often.groupBy("doc_id", "way").agg(F.max_by("a", F.struct("times", "a")).alias("a")).select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct()
-    first_links = session.kept(linked(first_pairs, docs, reps, width, percent))
+    first_links = session.kept(linked(bounded(first_pairs, reps, percent), docs, width, percent))
 
     sure = session.kept(components(first_links))
-    labelled = shared.select("key", "doc_id", "n", "short").join(sure, F.col("doc_id") == F.col("id"), "left").withColumn("c", F.coalesce("component", "doc_id")).drop("id", "component")
+    labelled = shared.select("key", "doc_id", "n", "pos", "short").join(sure, F.col("doc_id") == F.col("id"), "left").withColumn("c", F.coalesce("component", "doc_id")).drop("id", "component")
     several = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
     mixed = session.kept_table(labelled.join(several, "key", "left_semi").withColumn("band", F.floor(F.log("n") / float(np.log(100 / percent))).cast("int")))
-    tile = lambda x, bands: mixed.where("short" if x == "a" else "true").select("key", F.col("doc_id").alias(x), F.col("n").alias("n" + x), F.col("c").alias("c" + x), bands.alias("band"))
+    signed = mixed.join(reps.select("doc_id", "bits"), "doc_id")
+    tile = lambda x, bands: signed.where("short" if x == "a" else "true").select("key", F.col("doc_id").alias(x), *(F.col(k).alias(k + x) for k in ("n", "pos", "c", "bits")), bands.alias("band"))
     shorter = tile("a", F.explode(F.array("band", F.col("band") + 1)))
     longer = tile("b", F.col("band"))
-    rest = shorter.join(longer, ["key", "band"]).where((F.col("ca") != F.col("cb")) & (100 * F.col("na") >= percent * F.col("nb")) & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))))
+    other = (F.col("ca") != F.col("cb")) & (100 * F.col("na") >= percent * F.col("nb")) & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
+    # Of the keys that a pair shares, the first has at most the rest of both sets after it.
+    after = _may_link(percent, F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb")))
+    pair = (shorter["key"] == longer["key"]) & (shorter["band"] == longer["band"])
+    rest = shorter.join(longer, pair & other & after & _bits_allow(percent))
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more_links = linked(rest, docs, reps, width, percent)
-
-    links = first_links.union(more_links).union(members.select("a", "b"))
-    found = components(links)
-    out = sets.join(found, F.col("doc_id") == F.col("id"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    more_links = linked(rest, docs, width, percent)
+
+    # What the second round finds joins whole components of the first.
+    of = lambda x: sure.select(F.col("id").alias(x), F.col("component").alias("c" + x))
+    bridges = more_links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    over = session.kept(components(bridges)).withColumnsRenamed({"id": "c", "component": "over"})
+    found = classes.join(sure, F.col("rep") == F.col("id"), "left").withColumn("c", F.coalesce("component", "rep")).join(over, "c", "left")
+    found = found.select("n", "s1", "s2", F.coalesce("over", "c").alias("c"))
+    out = sets.select("doc_id", "n", "s1", "s2").join(found, ["n", "s1", "s2"], "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id")).alias("component_id"))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
