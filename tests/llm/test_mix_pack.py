@@ -1,7 +1,7 @@
 """op3 and op7 against plain versions, and their edge cases."""
 
-from collections import Counter, defaultdict
 import zlib
+from collections import Counter, defaultdict
 
 import brute
 import numpy as np
@@ -27,13 +27,13 @@ def check_mix(rows):
         assert got <= 2 * size and (size == 0 or got % size == 0)
         taken[source] += got
     for source, target in want.items():
-        gap = target - taken[source]
-        print(source, target, gap)
-        spare = [s for s, x, _, _, got in rows if x == source and s and got < 2 * s]
-        assert abs(gap) <= max(0.01 * target, min(spare, default=0)) + 1, source
+        assert abs(taken[source] - target) <= 0.01 * target + 1, source
 
 
-def test_mix_query(spark, sf_dir, some_rows):
+def test_mix_query(spark):
+    """At 50 documents a source; with ten, whole documents can't come as near (see the README)."""
+    sf_dir = "/root/testdata/sf0.01"
+    some_rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     df = queries.queries()["op3_source_mixing"](spark, sf_dir)
     source = {r[0]: r[1] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source").collect()}
     got = df.collect()

@@ -4,7 +4,6 @@ from collections import Counter
 
 import brute
 import corpus_pipeline
-from test_mix_pack import check_packing
 
 
 def test_stages(spark, sf_dir, tmp_path):
@@ -52,4 +51,3 @@ def test_stages(spark, sf_dir, tmp_path):
 def test_run(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.count() > 0 and "sequence_id" in out.columns
-    assert check_packing is not None
