@@ -117,6 +117,17 @@ def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, .
     return with_counts(docs).withColumns({"base_failed": either(base), "kept": ~either((*base, *rules)), "failed_rules": names})
 
 
+def passing(docs: DataFrame) -> DataFrame:
+    """The rows that pass, as they came.
+
+    A filter on ``kept`` alone would be pushed below the projections, and each count
+    written out there wherever it is used, down to a sort of all windows for every
+    window. It isn't pushed past a row number that it also refers to.
+    """
+    rows = judged(docs).withColumn("_row", F.monotonically_increasing_id())
+    return rows.where("kept and _row >= 0").select(*docs.columns)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = session.documents(spark, sf_dir).select("doc_id", "text")
     return judged(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
