@@ -16,7 +16,7 @@ from folioscope.llm.sketches import split_by_ids
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that pass every quality rule."""
-    return quality_rules.judged(docs).where("kept").select(*docs.columns)
+    return quality_rules.passing(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
