@@ -30,9 +30,8 @@ def check_mix(rows):
         assert abs(taken[source] - target) <= 0.01 * target + 1, source
 
 
-def test_mix_query(spark):
-    """At 50 documents a source; with ten, whole documents can't come as near (see the README)."""
-    sf_dir = "/root/testdata/sf0.01"
+@pytest.mark.parametrize("sf_dir", ["/root/testdata/sf0.01", pytest.param("/root/testdata/sf0.001", marks=pytest.mark.xfail(reason="sources of ten documents miss their targets by up to 30 %"))])
+def test_mix_query(spark, sf_dir):
     some_rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     df = queries.queries()["op3_source_mixing"](spark, sf_dir)
     source = {r[0]: r[1] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source").collect()}
