@@ -211,7 +211,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     rows = rows.withColumn("salt", F.when(hot, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).otherwise(0))
     order = W.partitionBy("key", "salt").orderBy("n", "doc_id")
     rows = rows.withColumns({"before": F.lag(F.struct("n", "doc_id")).over(order), "first": F.first(F.struct("n", "doc_id")).over(order.rowsBetween(W.unboundedPreceding, 0)), "after": F.lead("doc_id").over(order)})
-    shared = session.kept_table(rows.where(F.col("before").isNotNull() | F.col("after").isNotNull() | (F.col("salt") > 0)))
+    # A hot key's rows meet across salts below, so one that is alone in its salt stays, whatever the salt.
+    shared = session.kept_table(rows.where(F.col("before").isNotNull() | F.col("after").isNotNull() | hot))
     fits = lambda short: 100 * F.col(f"{short}.n") >= percent * F.col("n")
     meets = shared.select("doc_id", F.explode(F.array(F.struct(F.lit(0).alias("way"), F.when(fits("before"), F.col("before.doc_id")).alias("a")), F.struct(F.lit(1).alias("way"), F.when(fits("first"), F.col("first.doc_id")).alias("a")))).alias("m")).select("doc_id", "m.*").where("a <> doc_id")
     heads = shared.where(hot & F.col("before").isNull())

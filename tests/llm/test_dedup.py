@@ -42,6 +42,21 @@ def test_links_at_other_thresholds(odd, odd_rows, percent):
     assert got == brute.jaccard_components(odd_rows, percent)
 
 
+def test_links_of_rows_alone_in_salt_zero(spark, monkeypatch):
+    """Pairs that share hot keys only, one of the two being the single row of salt 0."""
+    monkeypatch.setattr(jaccard_join, "HOT", 1)
+    salt = F.pmod(F.xxhash64(F.col("id")), F.lit(jaccard_join.SALTS))
+    ids = spark.range(4000).select("id", salt.alias("salt"))
+    zero = [r["id"] for r in ids.where("salt = 0").orderBy("id").limit(20).collect()]
+    other = [r["id"] for r in ids.where("salt > 0").orderBy("id").limit(20).collect()]
+    rows = []
+    for k, (a, b) in enumerate(zip(zero, other, strict=True)):
+        words = [f"p{k}w{j}" for j in range(60)]
+        rows += [(a, " ".join(words)), (b, " ".join([*words, "end"]))]
+    got = ids_of(jaccard_join.near_duplicates(frame(spark, rows)), "n_shingles", "component_id")
+    assert got == brute.jaccard_components(rows)
+
+
 @pytest.mark.parametrize("make", [suffix_dedup.dedup_bytes, substring_dedup.dedup_words, jaccard_join.near_duplicates])
 def test_empty_table(empty, make):
     assert make(empty).count() == 0
