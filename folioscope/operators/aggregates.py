@@ -118,6 +118,13 @@ register(
     + """, c AS (SELECT section_number, regexp_extract(heading, '^([A-Za-z]+)', 1) AS word, count(*) AS n FROM sections WHERE section_number <= 40 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY section_number ORDER BY n DESC, word) AS k, CAST(sum(n) OVER (PARTITION BY section_number) AS BIGINT) AS total FROM c)
 SELECT section_number, word AS mode, n, total FROM r WHERE k = 1""",
 )
+register(
+    "mode_heading_all",
+    lambda spark, d: mode_of(v.sections(spark, d).withColumn("word", F.regexp_extract("heading", "^([A-Za-z]+)", 1)), "section_number", "word"),
+    v.with_views("sections")
+    + """, c AS (SELECT section_number, regexp_extract(heading, '^([A-Za-z]+)', 1) AS word, count(*) AS n FROM sections GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY section_number ORDER BY n DESC, word) AS k, CAST(sum(n) OVER (PARTITION BY section_number) AS BIGINT) AS total FROM c)
+SELECT section_number, word AS mode, n, total FROM r WHERE k = 1""",
+)
 register(
     "definition_frequency",
     lambda spark, d: v.definitions(spark, d).groupBy("term").agg(F.countDistinct("doc_id").alias("docs"), F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 6).alias("confidence"), F.countDistinct("pattern_engine").alias("engines")).where("docs >= 3"),
@@ -264,6 +271,11 @@ register(
     lambda spark, d: v.sections(spark, d).where("section_number <= 20").groupBy("section_number", F.col("article_num")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("template_family").alias("templates")),
     v.with_views("sections") + "SELECT section_number, article_num, count(*) AS n, count(DISTINCT template_family) AS templates FROM sections WHERE section_number <= 20 GROUP BY 1, 2",
 )
+register(
+    "section_prevalence_all",
+    lambda spark, d: v.sections(spark, d).where("heading <> ''").groupBy(F.lower(F.regexp_replace("heading", "^\\s+|\\s+$", "")).alias("title"), "section_number").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("template_family").alias("templates")),
+    v.with_views("sections") + "SELECT lower(regexp_replace(heading, '^\\s+|\\s+$', '', 'g')) AS title, section_number, count(*) AS n, count(DISTINCT template_family) AS templates FROM sections WHERE heading <> '' GROUP BY 1, 2",
+)
 register(
     "batch_spans",
     lambda spark, d: v.table(spark, d, "events").groupBy(F.col("user_id").alias("batch")).agg(F.min("ts").alias("began"), F.max("ts").alias("ended"), F.count(F.lit(1)).alias("n")),

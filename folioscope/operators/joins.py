@@ -67,6 +67,11 @@ register(
     lambda spark, d: in_span(v.placed(v.sections(spark, d)).where("section_number <= 10"), _terms(spark, d), "left").groupBy("doc_id", "section_number").agg(F.count("term").alias("terms"), F.min("term").alias("first")),
     v.with_views("sections", "placed", "definitions") + f", {_TERMS} SELECT s.doc_id, section_number, count(term) AS terms, min(term) AS first FROM placed s LEFT JOIN terms t ON t.doc_id = s.doc_id AND place >= char_start AND place < char_start + chars WHERE section_number <= 10 GROUP BY 1, 2",
 )
+register(
+    "range_left_all",
+    lambda spark, d: in_span(v.placed(v.sections(spark, d)), _terms(spark, d), "left").groupBy("doc_id", "section_number").agg(F.count("term").alias("terms"), F.min("term").alias("first")),
+    v.with_views("sections", "placed", "definitions") + f", {_TERMS} SELECT s.doc_id, section_number, count(term) AS terms, min(term) AS first FROM placed s LEFT JOIN terms t ON t.doc_id = s.doc_id AND place >= char_start AND place < char_start + chars GROUP BY 1, 2",
+)
 register(
     "range_inner",
     lambda spark, d: in_span(v.placed(v.sections(spark, d)), _terms(spark, d), "inner").where(F.col("text").contains(F.col("term"))).groupBy("template_family", "pattern_engine").agg(F.count(F.lit(1)).alias("n")),
@@ -77,12 +82,17 @@ register(
 def best_clause(spark, d):
     best = W.partitionBy("doc_id", "section_number").orderBy(F.desc("is_structural"), F.desc("depth"), F.col("clause_number"))
     top = v.clauses(spark, d).withColumn("_k", F.row_number().over(best)).where("_k = 1").select("doc_id", "section_number", "clause_id", "depth")
-    return v.sections(spark, d).where("section_number < 10").join(top, ["doc_id", "section_number"], "left").select("doc_id", "section_number", "clause_id", "depth")
+    return v.sections(spark, d).join(top, ["doc_id", "section_number"], "left").select("doc_id", "section_number", "clause_id", "depth")
 
 
 register(
-    "lateral_top1",
+    "lateral_top1_all",
     best_clause,
+    v.with_views("sections", "clauses") + "SELECT s.doc_id, s.section_number, c.clause_id, c.depth FROM sections s LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id, section_number ORDER BY is_structural DESC, depth DESC, clause_number) AS k FROM clauses) c ON c.doc_id = s.doc_id AND c.section_number = s.section_number AND k = 1",
+)
+register(
+    "lateral_top1",
+    lambda spark, d: best_clause(spark, d).where("section_number < 10"),
     v.with_views("sections", "clauses") + "SELECT s.doc_id, s.section_number, c.clause_id, c.depth FROM sections s LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id, section_number ORDER BY is_structural DESC, depth DESC, clause_number) AS k FROM clauses) c ON c.doc_id = s.doc_id AND c.section_number = s.section_number AND k = 1 WHERE s.section_number < 10",
 )
 register(
