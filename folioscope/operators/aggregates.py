@@ -99,9 +99,20 @@ register(
     lambda spark, d: v.clauses(spark, d).groupBy("label").agg(F.countDistinct(F.struct("section_number", "parent_id")).alias("pairs")),
     v.with_views("clauses") + "SELECT label, count(DISTINCT (section_number, parent_id)) AS pairs FROM clauses GROUP BY label",
 )
+
+
+def ordered_lists(df: DataFrame) -> DataFrame:
+    return df.groupBy("term").agg(F.array_join(F.array_sort(F.collect_set("pattern_engine")), ",").alias("engines"), F.array_join(F.slice(F.array_sort(F.collect_set("doc_id")), 1, 5), ",").alias("examples"))
+
+
+register(
+    "ordered_lists_all",
+    lambda spark, d: ordered_lists(v.definitions(spark, d)),
+    v.with_views("definitions") + "SELECT term, array_to_string(list_sort(list(DISTINCT pattern_engine)), ',') AS engines, array_to_string(list_slice(list_sort(list(DISTINCT doc_id)), 1, 5), ',') AS examples FROM definitions GROUP BY term",
+)
 register(
     "ordered_lists",
-    lambda spark, d: v.definitions(spark, d).where("length(term) = 9").groupBy("term").agg(F.array_join(F.array_sort(F.collect_set("pattern_engine")), ",").alias("engines"), F.array_join(F.slice(F.array_sort(F.collect_set("doc_id")), 1, 5), ",").alias("examples")),
+    lambda spark, d: ordered_lists(v.definitions(spark, d).where("length(term) = 9")),
     v.with_views("definitions") + "SELECT term, array_to_string(list_sort(list(DISTINCT pattern_engine)), ',') AS engines, array_to_string(list_slice(list_sort(list(DISTINCT doc_id)), 1, 5), ',') AS examples FROM definitions WHERE length(term) = 9 GROUP BY term",
 )
 

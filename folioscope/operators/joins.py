@@ -152,15 +152,20 @@ SELECT doc_id, section_number, pattern FROM h JOIN p ON contains(h, replace(patt
 )
 
 
-def terms_in_text(spark, d):
-    t = v.definitions(spark, d).where("length(term) >= 8").select("doc_id", F.lower("term").alias("term")).distinct()
+def terms_in_text(spark, d, which="true"):
+    t = v.definitions(spark, d).where(which).select("doc_id", F.lower("term").alias("term")).distinct()
     s = v.sections(spark, d).select("doc_id", "section_number", F.lower("text").alias("low"))
     return s.join(t, "doc_id").where(F.col("low").contains(F.col("term"))).groupBy("doc_id", "section_number").agg(F.count(F.lit(1)).alias("terms"))
 
 
 register(
-    "terms_in_text",
+    "terms_in_text_all",
     terms_in_text,
+    v.with_views("sections", "definitions") + "SELECT s.doc_id, section_number, count(*) AS terms FROM sections s JOIN (SELECT DISTINCT doc_id, lower(term) AS term FROM definitions) t ON t.doc_id = s.doc_id AND contains(lower(s.text), t.term) GROUP BY 1, 2",
+)
+register(
+    "terms_in_text",
+    lambda spark, d: terms_in_text(spark, d, "length(term) >= 8"),
     v.with_views("sections", "definitions") + "SELECT s.doc_id, section_number, count(*) AS terms FROM sections s JOIN (SELECT DISTINCT doc_id, lower(term) AS term FROM definitions WHERE length(term) >= 8) t ON t.doc_id = s.doc_id AND contains(lower(s.text), t.term) GROUP BY 1, 2",
 )
 

@@ -1,5 +1,6 @@
 """Queries over all sections of each document against plain counts."""
 
+import re
 from collections import Counter, defaultdict
 
 import pytest
@@ -32,3 +33,20 @@ def test_mode_of_every_section_number(spark, sf_dir, sections):
 def test_prevalence_by_heading(spark, sf_dir, sections):
     want = Counter((line[:40].strip().lower(), k) for _, k, line in sections if line)
     assert {r[:2]: r[2] for r in made(spark, sf_dir, "section_prevalence_all", "title", "section_number", "n")} == want
+
+
+def test_terms_of_any_length_in_text(spark, sf_dir, sections):
+    terms = defaultdict(set)
+    for i, _, line in sections:
+        terms[i].update(t.lower() for t in re.findall("[A-Z][a-z]{3,}", line))
+    want = {(i, k): n for i, k, line in sections if (n := sum(t in line.lower() for t in terms[i]))}
+    assert {r[:2]: r[2] for r in made(spark, sf_dir, "terms_in_text_all", "doc_id", "section_number", "terms")} == want
+
+
+def test_lists_of_terms_of_any_length(spark, sf_dir, sections):
+    docs = defaultdict(set)
+    for i, _, line in sections:
+        for t in re.findall("[A-Z][a-z]{3,}", line):
+            docs[t].add(i)
+    want = {t: ",".join(map(str, sorted(ids)[:5])) for t, ids in docs.items()}
+    assert dict(made(spark, sf_dir, "ordered_lists_all", "term", "examples")) == want
