@@ -46,6 +46,8 @@ from .sketches import cells, merged_sketch, partial_sketch, seen, sketch_bits, s
 
 #: Windows that a task holds before it settles and emits them.
 BUFFER = 1 << 20
+#: A run's length has 24 bits beside its place.
+LONGEST = (1 << 24) - 1
 _SECOND = 0xA24BAED4963EE407  # odd
 
 
@@ -74,7 +76,7 @@ def _minimiser_places(parts: np.ndarray, least: np.ndarray, valid: np.ndarray, r
 
 
 def _runs(ids: np.ndarray, pos: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First index and length of each run of consecutive places of one document; input sorted by (ids, pos)."""
+    """First index and length of each run of consecutive places of one document, cut at ``LONGEST``; input sorted by (ids, pos)."""
     if len(ids) == 0:
         return (np.zeros(0, np.int64),) * 2
     cut = np.ones(len(ids), bool)
@@ -82,6 +84,9 @@ def _runs(ids: np.ndarray, pos: np.ndarray, *same: np.ndarray) -> tuple[np.ndarr
     for x in same:
         cut[1:] |= x[1:] != x[:-1]
     at = np.flatnonzero(cut)
+    times = (np.diff(np.r_[at, len(ids)]) - 1) // LONGEST + 1
+    nth = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+    at = np.repeat(at, times) + nth * LONGEST
     return at, np.diff(np.r_[at, len(ids)])
 
 

@@ -42,6 +42,12 @@ def test_links_at_other_thresholds(odd, odd_rows, percent):
     assert got == brute.jaccard_components(odd_rows, percent)
 
 
+def test_runs_fit_beside_their_place():
+    n = (1 << 24) + 5
+    at, lengths = substring_dedup._runs(np.full(n + 3, 7), np.r_[np.arange(n), n + 10 + np.arange(3)])
+    assert at.tolist() == [0, (1 << 24) - 1, n] and lengths.tolist() == [(1 << 24) - 1, 6, 3]
+
+
 def test_links_of_rows_alone_in_salt_zero(spark, monkeypatch):
     """Pairs that share hot keys only, one of the two being the single row of salt 0."""
     monkeypatch.setattr(jaccard_join, "HOT", 1)
