@@ -11,7 +11,8 @@
    length that many copies share is not one task, and the plan maps (length, rank)
    to a sequence and an offset.
 
-Text is tokenised as ordinary text: a special token's string in it has no meaning.
+With ``added``, as in op7 and the pipeline, an added token's string in a text gives its
+id, as `tokenizers` does by default; without, it is tokenised as ordinary text.
 
 Edge cases: null and empty text give one piece that holds only the end id; a text of
 any length is cut, never shortened; equal rows are packed each on its own; an empty
@@ -21,6 +22,7 @@ table gives no pieces. Input columns other than doc_id and text are not carried.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -46,7 +48,7 @@ JOINED = 1 << 16
 _WHITE = r"\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 _ODD = f"[{_WHITE}] [{_WHITE}]|[{_WHITE}] $"
 _LOOSE = f"^$|^[{_WHITE}]|[{_WHITE}]$"
-_LOADED: dict[str, Pieces] = {}
+_LOADED: dict[tuple[str, bool], Pieces] = {}
 
 
 class Pieces:
@@ -54,15 +56,18 @@ class Pieces:
 
     A text is cut before every space. Pre-tokens never extend over such a cut, except
     inside longer runs of white space (a space with white space on both sides, or after
-    white space at the end of the text); texts that have one are tokenised whole.
+    white space at the end of the text); texts that have one, or the string of an
+    added token where these count, are tokenised whole.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, added: bool = False) -> None:
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
             data = json.load(f)
         special = {t["id"] for t in data["added_tokens"]}
+        self.added = {t["content"]: t["id"] for t in data["added_tokens"]} if added else {}
+        self.any_added = "|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
         ranks = {bytes(byte_of[c] for c in token): i for token, i in data["model"]["vocab"].items() if i not in special}
@@ -74,6 +79,11 @@ class Pieces:
     def each(self, texts: list[str]) -> list[list[int]]:
         return [self.encoding.encode_ordinary(t) for t in texts]
 
+    def whole(self, text: str) -> list[int]:
+        """Ids of a text that is cut at the added tokens only."""
+        parts = re.split(f"({self.any_added})", text) if self.added else [text]
+        return [i for p in parts for i in ([self.added[p]] if p in self.added else self.encoding.encode_ordinary(p))]
+
     def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each word), every word with a space before it."""
         counts = np.zeros(len(words), np.int64)
@@ -110,6 +120,8 @@ class Pieces:
         """(ids of all texts, number of ids of each). Null is empty."""
         texts = pc.fill_null(texts, "")
         odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+        for token in self.added:
+            odd = odd | pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
         lists = pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " ")
         flat = lists.flatten()
         bounds = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
@@ -117,7 +129,7 @@ class Pieces:
         ids, counts = self.words(coded.dictionary)
         starts = np.cumsum(counts) - counts
         heads = self.each(flat.take(pa.array(bounds[:-1])).to_pylist())
-        wholes = self.each(texts.filter(pa.array(odd)).to_pylist())
+        wholes = [self.whole(t) for t in texts.filter(pa.array(odd)).to_pylist()]
         for i, whole in zip(np.flatnonzero(odd), wholes, strict=True):
             heads[i] = whole
         head_counts = np.array([len(x) for x in heads], np.int64)
@@ -136,14 +148,14 @@ def _slices(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(int(counts.sum())) + np.repeat(starts - first, counts)
 
 
-def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False, added: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of every document."""
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
 
     def cut(batches) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _LOADED:
-            _LOADED[tokenizer] = Pieces(tokenizer)
-        encoder = _LOADED[tokenizer]
+        if (tokenizer, added) not in _LOADED:
+            _LOADED[tokenizer, added] = Pieces(tokenizer, added)
+        encoder = _LOADED[tokenizer, added]
         for batch in batches:
             texts = batch.column("text")
             _, offsets = text_buffers(texts)
@@ -328,9 +340,9 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    return packed(session.kept(pieces_of(docs, tokenizer or default_tokenizer(), capacity, with_ids)), capacity)
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False, added: bool = False) -> DataFrame:
+    return packed(session.kept(pieces_of(docs, tokenizer or default_tokenizer(), capacity, with_ids, added)), capacity)
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(session.documents(spark, sf_dir))
+    return pack_documents(session.documents(spark, sf_dir), added=True)

@@ -120,6 +120,15 @@ def test_packing_odd_texts(odd, odd_rows, empty):
     assert packing.pack_documents(empty).count() == 0
 
 
+def test_added_tokens_in_texts(spark, tmp_path):
+    texts = ["<|endoftext|> in text", "a <|endoftext|><|endoftext|>  b 's<|endoftext|>s ", "cut <|endoftext", "plain  text", None]
+    frame(spark, list(enumerate(texts))).write.parquet(str(tmp_path / "documents.parquet"))
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = [[*e.ids, 0] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+    got = queries.queries()["op7_best_fit_packing"](spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in got} == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in enumerate(ids)}
+
+
 def test_packing_repeated_rows(spark):
     got = packing.pack_documents(frame(spark, [(5, "a b")] * 4)).collect()
     assert len({(r["sequence_id"], r["offset"]) for r in got}) == 4
