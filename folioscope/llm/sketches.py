@@ -72,9 +72,16 @@ def partial_sketch(bits: int, pending: list[np.ndarray], salt: int) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], names=["block", "salt", "kind", "once", "twice"])
 
 
-def sketch_bits(docs: DataFrame, entries_per_byte: float, max_bits: int) -> int:
+def bits_for(size: int, entries_per_byte: float) -> int:
+    """Bits for about 8 cells an entry, without a ceiling."""
+    return max(20, math.ceil(math.log2(max(1, size * entries_per_byte * 8))))
+
+
+def sketch_bits(docs: DataFrame, entries_per_byte: float, max_bits: int) -> tuple[int, int]:
+    """Bits of the sketch, and a number of tasks that follows the input beyond the sketch's ceiling."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(20, min(max_bits, math.ceil(math.log2(max(1, size * entries_per_byte * 8)))))
+    bits = bits_for(size, entries_per_byte)
+    return max(20, min(max_bits, bits)), 1 << max(0, bits - 24)
 
 
 def seen(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:

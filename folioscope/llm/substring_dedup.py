@@ -107,7 +107,7 @@ def repeated_starts(docs: DataFrame, width: int = 20, max_bits: int = 30) -> Dat
     """
     spark = docs.sparkSession
     texts = docs.where("doc_id is not null").select("doc_id", "text")
-    bits = sketch_bits(texts, 1 / 33, max_bits)
+    bits, least_tasks = sketch_bits(texts, 1 / 33, max_bits)
     part = (width + 1) // 2
 
     def count(batches) -> Iterator[pa.RecordBatch]:
@@ -191,7 +191,7 @@ def repeated_starts(docs: DataFrame, width: int = 20, max_bits: int = 30) -> Dat
 
     emitted = texts.mapInArrow(emit, "key long, doc_id long, span long, hashes binary")
     # Sized so that a task holds a few million windows; the number follows the input.
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (1 << max(0, bits - 24)))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), least_tasks)
     return emitted.repartition(parts, "key").mapInArrow(find, "doc_id long, span long")
 
 

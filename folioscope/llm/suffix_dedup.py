@@ -178,7 +178,7 @@ def repeated_runs(docs: DataFrame, width: int = WIDTH, max_bits: int = 30) -> Da
         raise ValueError("width must be even and longer than the minimiser's part")
     spark = docs.sparkSession
     texts = docs.where("doc_id is not null").select("doc_id", "text")
-    bits = sketch_bits(texts, 2 / (width - PART + 2), max_bits)
+    bits, least_tasks = sketch_bits(texts, 2 / (width - PART + 2), max_bits)
     reach = width - PART + 1
 
     def count(batches) -> Iterator[pa.RecordBatch]:
@@ -204,7 +204,7 @@ def repeated_runs(docs: DataFrame, width: int = WIDTH, max_bits: int = 30) -> Da
     sketch = spark.sparkContext.broadcast(merged_sketch(texts.select("text").mapInArrow(count, KIND), bits))
     names = ["bucket", "kind", "meta", "body"]
     # About 8 MB of strings in a task; the number follows the input.
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << max(0, bits - 24))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), least_tasks)
     buckets = 8 * tasks
 
     def packed(bucket: np.ndarray, kind: int, meta: np.ndarray, body: np.ndarray, lengths: np.ndarray) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from folioscope.llm import jaccard_join, queries, substring_dedup, suffix_dedup
+from folioscope.llm import jaccard_join, queries, sketches, substring_dedup, suffix_dedup
 from folioscope.llm.components import components
 
 
@@ -42,6 +42,15 @@ def test_links_at_other_thresholds(odd, odd_rows, percent):
     assert got == brute.jaccard_components(odd_rows, percent)
 
 
+@pytest.mark.parametrize("rate", [1 / 16, 1 / 33])
+def test_tasks_follow_the_input_beyond_the_sketch(spark, monkeypatch, rate):
+    docs = spark.createDataFrame([("a",)], "text string")
+    monkeypatch.setattr(sketches.F, "octet_length", lambda column: F.lit(1 << 34))
+    bits, tasks = sketches.sketch_bits(docs, rate, 30)
+    monkeypatch.setattr(sketches.F, "octet_length", lambda column: F.lit(1 << 36))
+    assert bits == 30 and sketches.sketch_bits(docs, rate, 30) == (30, 4 * tasks)
+
+
 def test_runs_fit_beside_their_place():
     n = (1 << 24) + 5
     at, lengths = substring_dedup._runs(np.full(n + 3, 7), np.r_[np.arange(n), n + 10 + np.arange(3)])
