@@ -85,9 +85,34 @@ def nodes(node: dict, path: str = "0"):
         yield from nodes(child, f"{path}.{i}")
 
 
-def evaluated(column: str, node: dict) -> Column:
-    """array<struct<path, matched>>: the verdict of every node, for explaining a match."""
-    return F.array(*(F.struct(F.lit(p).alias("path"), compiled(column, n).alias("matched")) for p, n in nodes(node)))
+def explained(column: str, node: dict) -> tuple[dict[str, Column], dict[str, Column]]:
+    """(columns of the leaves by name, verdict of each node by path, over those names): each leaf is evaluated once."""
+    leaves: dict[str, Column] = {}
+    verdicts: dict[str, Column] = {}
+
+    def visit(path: str, node: dict) -> Column:
+        if "operator" not in node:
+            name = f"leaf_{path.replace('.', '_')}"
+            leaves[name] = leaf(F.col(column), node)
+            verdicts[path] = F.col(name)
+            return verdicts[path]
+        join = (lambda a, b: a | b) if node["operator"] == "or" else (lambda a, b: a & b)
+        parts = [visit(f"{path}.{i}", c) for i, c in enumerate(node["children"])]
+        out = reduce(join, parts) if parts else F.lit(True)
+        verdicts[path] = ~out if node.get("negate") else out
+        return verdicts[path]
+
+    visit("0", node)
+    return leaves, dict(sorted(verdicts.items()))
+
+
+def left_to_right(column: str, terms: list[tuple[str, str]]) -> Column:
+    """[("", a), ("or", b), ("and not", c)] strictly from left to right, without precedence."""
+    out = None
+    for word, value in terms:
+        term = leaf(F.col(column), {"value": value, "negate": word.endswith("not")})
+        out = term if out is None else (out | term if word.startswith("or") else out & term)
+    return F.lit(True) if out is None else out
 
 
 def cost(node: dict) -> int:
@@ -139,13 +164,12 @@ ROMAN = {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100, "D": 500, "M": 1000}
 
 
 def roman_value(text: str) -> int | None:
-    """The value of a roman numeral, null if it is none."""
-    total = 0
-    for a, b in zip(text, [*text[1:], None], strict=True):
-        if a not in ROMAN:
-            return None
-        total += -ROMAN[a] if b in ROMAN and ROMAN[b] > ROMAN[a] else ROMAN[a]
-    return total or None
+    """The value of a well-formed roman numeral of either case, null for anything else."""
+    text = text.upper()
+    if not text or not re.fullmatch("M{0,3}(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})", text):
+        return None
+    values = [ROMAN[c] for c in text]
+    return sum(-a if a < b else a for a, b in zip(values, [*values[1:], 0], strict=True))
 
 
 def article_filter(value: str, number: str = "article_num", title: str = "title", concept: str = "concept", negate: bool = False) -> Column:

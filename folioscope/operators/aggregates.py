@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..plans import views as v
+from ..plans.ranks import value_ranks
 from ..registry import register
 
 
@@ -101,8 +102,15 @@ register(
 )
 
 
+def first_ids(df: DataFrame, key: str, count: int = 5) -> DataFrame:
+    """(key, examples): each key's first document ids; a rank cuts them before they are collected."""
+    once = df.select(key, "doc_id").distinct().withColumn("_k", F.row_number().over(W.partitionBy(key).orderBy("doc_id"))).where(F.col("_k") <= count)
+    return once.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list("doc_id")), ",").alias("examples"))
+
+
 def ordered_lists(df: DataFrame) -> DataFrame:
-    return df.groupBy("term").agg(F.array_join(F.array_sort(F.collect_set("pattern_engine")), ",").alias("engines"), F.array_join(F.slice(F.array_sort(F.collect_set("doc_id")), 1, 5), ",").alias("examples"))
+    engines = df.groupBy("term").agg(F.array_join(F.array_sort(F.collect_set("pattern_engine")), ",").alias("engines"))  # a few engines
+    return engines.join(first_ids(df, "term"), "term")
 
 
 register(
@@ -112,8 +120,8 @@ register(
 )
 register(
     "ordered_lists",
-    lambda spark, d: ordered_lists(v.definitions(spark, d).where("length(term) = 9")),
-    v.with_views("definitions") + "SELECT term, array_to_string(list_sort(list(DISTINCT pattern_engine)), ',') AS engines, array_to_string(list_slice(list_sort(list(DISTINCT doc_id)), 1, 5), ',') AS examples FROM definitions WHERE length(term) = 9 GROUP BY term",
+    lambda spark, d: ordered_lists(v.definitions(spark, d)),
+    v.with_views("definitions") + "SELECT term, array_to_string(list_sort(list(DISTINCT pattern_engine)), ',') AS engines, array_to_string(list_slice(list_sort(list(DISTINCT doc_id)), 1, 5), ',') AS examples FROM definitions GROUP BY term",
 )
 
 
@@ -124,9 +132,9 @@ def mode_of(df: DataFrame, group: str, value: str) -> DataFrame:
 
 register(
     "mode_heading",
-    lambda spark, d: mode_of(v.sections(spark, d).withColumn("word", F.regexp_extract("heading", "^([A-Za-z]+)", 1)).where("section_number <= 40"), "section_number", "word"),
+    lambda spark, d: mode_of(v.sections(spark, d).withColumn("word", F.regexp_extract("heading", "^([A-Za-z]+)", 1)), "section_number", "word"),
     v.with_views("sections")
-    + """, c AS (SELECT section_number, regexp_extract(heading, '^([A-Za-z]+)', 1) AS word, count(*) AS n FROM sections WHERE section_number <= 40 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY section_number ORDER BY n DESC, word) AS k, CAST(sum(n) OVER (PARTITION BY section_number) AS BIGINT) AS total FROM c)
+    + """, c AS (SELECT section_number, regexp_extract(heading, '^([A-Za-z]+)', 1) AS word, count(*) AS n FROM sections GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY section_number ORDER BY n DESC, word) AS k, CAST(sum(n) OVER (PARTITION BY section_number) AS BIGINT) AS total FROM c)
 SELECT section_number, word AS mode, n, total FROM r WHERE k = 1""",
 )
 register(
@@ -170,16 +178,21 @@ register(
 
 
 def links_analytics(spark, d):
+    """Links by family, status and tier, with their documents, and how many lie in sections that several families claim."""
     tier = F.when(F.col("confidence") >= 0.5, "high").when(F.col("confidence") >= 0.2, "medium").otherwise("low")
-    df = v.links(spark, d).select("family_id", "status", tier.alias("tier"))
-    return df.groupingSets([["family_id"], ["status"], ["tier"], []], "family_id", "status", "tier").agg(F.count(F.lit(1)).alias("n"))
+    links = v.links(spark, d)
+    several = links.groupBy("doc_id", "section_number").agg((F.min("family_id") != F.max("family_id")).alias("conflict"))
+    df = links.join(several, ["doc_id", "section_number"]).select("family_id", "status", tier.alias("tier"), "doc_id", "conflict")
+    # Once by document, so that distinct documents are a count in each grouping.
+    df = df.groupBy("family_id", "status", "tier", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("conflict").alias("c"))
+    return df.groupingSets([["family_id"], ["status"], ["tier"], []], "family_id", "status", "tier").agg(F.sum("n").alias("n"), F.countDistinct("doc_id").alias("docs"), F.sum("c").alias("conflicts"))
 
 
 register(
     "links_analytics",
     links_analytics,
     v.with_views("links")
-    + "SELECT family_id, status, tier, count(*) AS n FROM (SELECT family_id, status, CASE WHEN confidence >= 0.5 THEN 'high' WHEN confidence >= 0.2 THEN 'medium' ELSE 'low' END AS tier FROM links) GROUP BY GROUPING SETS ((family_id), (status), (tier), ())",
+    + "SELECT family_id, status, tier, count(*) AS n, count(DISTINCT doc_id) AS docs, count(*) FILTER (conflict) AS conflicts FROM (SELECT family_id, status, doc_id, CASE WHEN confidence >= 0.5 THEN 'high' WHEN confidence >= 0.2 THEN 'medium' ELSE 'low' END AS tier, (min(family_id) OVER w) <> (max(family_id) OVER w) AS conflict FROM links WINDOW w AS (PARTITION BY doc_id, section_number)) GROUP BY GROUPING SETS ((family_id), (status), (tier), ())",
 )
 register(
     "reason_analytics",
@@ -231,9 +244,21 @@ register(
 )
 
 
+def percentiles(df: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """Interpolated percentiles of each group, from ranks of distinct values: no task holds a group's values."""
+    ranks = value_ranks(df, value, group)
+    at = lambda i: (F.col("below") <= i) & (i < F.col("below") + F.col("n"))
+    place = {k: (F.col("total") - 1) * F.lit(p) for k, p in shares.items()}
+    ends = [F.max(F.when(at(f(x)), F.col("value"))).alias(f"_{k}_{n}") for k, x in place.items() for n, f in (("lo", F.floor), ("hi", F.ceil))]
+    x = ranks.groupBy(group).agg(F.max("total").alias("total"), *ends)
+    return x.select(group, *((F.col(f"_{k}_lo") + (F.col(f"_{k}_hi") - F.col(f"_{k}_lo")) * (place[k] - F.floor(place[k]))).alias(k) for k in shares))
+
+
 def metric_profile(spark, d):
     df = v.documents(spark, d).select(F.explode(F.create_map(F.lit("chars"), F.col("text_length").cast("double"), F.lit("words"), F.col("word_count").cast("double"), F.lit("density"), F.try_divide(F.col("text_length"), F.col("word_count")))).alias("metric", "value"))
-    return df.groupBy("metric").agg(F.count("value").alias("n"), F.round(F.min("value"), 6).alias("least"), *(F.round(F.percentile("value", F.lit(p / 100)), 6).alias(f"p{p}") for p in (10, 50, 90)), F.round(F.max("value"), 6).alias("most"))
+    ends = df.groupBy("metric").agg(F.count("value").alias("n"), F.round(F.min("value"), 6).alias("least"), F.round(F.max("value"), 6).alias("most"))
+    inner = percentiles(df, "metric", "value", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
+    return ends.join(inner, "metric").select("metric", "n", "least", *(F.round(p, 6).alias(p) for p in ("p10", "p50", "p90")), "most")
 
 
 register(
@@ -267,7 +292,8 @@ def heading_discovery(spark, d):
     """Headings' first words counted once for each document, with article numbers and examples."""
     s = v.sections(spark, d).withColumn("word", F.lower(F.regexp_extract("heading", "^([A-Za-z]{3,})", 1))).where("word <> ''")
     once = s.groupBy("word", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("article_num").alias("a"))
-    return once.groupBy("word").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"), F.countDistinct("a").alias("articles"), F.array_join(F.slice(F.array_sort(F.collect_list("doc_id")), 1, 5), ",").alias("examples")).where("docs >= 2")
+    counts = once.groupBy("word").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"), F.countDistinct("a").alias("articles")).where("docs >= 2")
+    return counts.join(first_ids(once, "word"), "word")
 
 
 register(
@@ -279,8 +305,8 @@ SELECT word, CAST(sum(n) AS BIGINT) AS n, count(*) AS docs, count(DISTINCT a) AS
 )
 register(
     "section_prevalence",
-    lambda spark, d: v.sections(spark, d).where("section_number <= 20").groupBy("section_number", F.col("article_num")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("template_family").alias("templates")),
-    v.with_views("sections") + "SELECT section_number, article_num, count(*) AS n, count(DISTINCT template_family) AS templates FROM sections WHERE section_number <= 20 GROUP BY 1, 2",
+    lambda spark, d: v.sections(spark, d).groupBy("section_number", F.col("article_num")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("template_family").alias("templates")),
+    v.with_views("sections") + "SELECT section_number, article_num, count(*) AS n, count(DISTINCT template_family) AS templates FROM sections GROUP BY 1, 2",
 )
 register(
     "section_prevalence_all",

@@ -6,6 +6,8 @@ within a document; a side is broadcast only where it is one row or counted.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -35,13 +37,13 @@ register(
 )
 register(
     "left_levels",
-    lambda spark, d: v.clauses(spark, d).where("depth = 4").join(v.sections(spark, d).select("doc_id", "section_number", "article_num", "heading"), ["doc_id", "section_number"], "left").join(v.articles(spark, d).select("doc_id", "article_num", "title"), ["doc_id", "article_num"], "left").select("clause_id", "section_number", "heading", "title"),
-    v.with_views("sections", "articles", "clauses") + "SELECT clause_id, c.section_number, s.heading, a.title FROM clauses c LEFT JOIN sections s USING (doc_id, section_number) LEFT JOIN articles a USING (doc_id, article_num) WHERE depth = 4",
+    lambda spark, d: v.clauses(spark, d).join(v.sections(spark, d).select("doc_id", "section_number", "article_num", "heading"), ["doc_id", "section_number"], "left").join(v.articles(spark, d).select("doc_id", "article_num", "title"), ["doc_id", "article_num"], "left").select("clause_id", "section_number", "heading", "title"),
+    v.with_views("sections", "articles", "clauses") + "SELECT clause_id, c.section_number, s.heading, a.title FROM clauses c LEFT JOIN sections s USING (doc_id, section_number) LEFT JOIN articles a USING (doc_id, article_num)",
 )
 register(
     "left_aggregated",
-    lambda spark, d: v.articles(spark, d).join(v.sections(spark, d).where("chars > 80").groupBy("doc_id", "article_num").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars")), ["doc_id", "article_num"], "left").select("doc_id", "article_num", F.coalesce("n", F.lit(0)).alias("n"), "chars"),
-    v.with_views("sections", "articles") + "SELECT a.doc_id, a.article_num, coalesce(n, 0) AS n, chars FROM articles a LEFT JOIN (SELECT doc_id, article_num, count(*) AS n, CAST(sum(chars) AS BIGINT) AS chars FROM sections WHERE chars > 80 GROUP BY 1, 2) USING (doc_id, article_num)",
+    lambda spark, d: v.articles(spark, d).join(v.sections(spark, d).groupBy("doc_id", "article_num").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars")), ["doc_id", "article_num"], "left").select("doc_id", "article_num", F.coalesce("n", F.lit(0)).alias("n"), "chars"),
+    v.with_views("sections", "articles") + "SELECT a.doc_id, a.article_num, coalesce(n, 0) AS n, chars FROM articles a LEFT JOIN (SELECT doc_id, article_num, count(*) AS n, CAST(sum(chars) AS BIGINT) AS chars FROM sections GROUP BY 1, 2) USING (doc_id, article_num)",
 )
 register(
     "semi_exists",
@@ -59,22 +61,22 @@ def in_span(sections: DataFrame, terms: DataFrame, how: str) -> DataFrame:
 
 register(
     "range_semi",
-    lambda spark, d: in_span(v.placed(v.sections(spark, d)), _terms(spark, d).where("length(term) >= 9"), "left_semi").select("doc_id", "section_number", "char_start"),
-    v.with_views("sections", "placed", "definitions") + f", {_TERMS} SELECT doc_id, section_number, char_start FROM placed s WHERE EXISTS (SELECT 1 FROM terms t WHERE t.doc_id = s.doc_id AND length(term) >= 9 AND place >= char_start AND place < char_start + chars)",
+    lambda spark, d: in_span(v.placed_sections(spark, d), _terms(spark, d), "left_semi").select("doc_id", "section_number", "char_start"),
+    v.with_views("sections", "placed", "definitions") + f", {_TERMS} SELECT doc_id, section_number, char_start FROM placed s WHERE EXISTS (SELECT 1 FROM terms t WHERE t.doc_id = s.doc_id AND place >= char_start AND place < char_start + chars)",
 )
 register(
     "range_left",
-    lambda spark, d: in_span(v.placed(v.sections(spark, d)).where("section_number <= 10"), _terms(spark, d), "left").groupBy("doc_id", "section_number").agg(F.count("term").alias("terms"), F.min("term").alias("first")),
-    v.with_views("sections", "placed", "definitions") + f", {_TERMS} SELECT s.doc_id, section_number, count(term) AS terms, min(term) AS first FROM placed s LEFT JOIN terms t ON t.doc_id = s.doc_id AND place >= char_start AND place < char_start + chars WHERE section_number <= 10 GROUP BY 1, 2",
+    lambda spark, d: in_span(v.placed_sections(spark, d), _terms(spark, d), "left").groupBy("doc_id", "section_number").agg(F.count("term").alias("terms"), F.min("term").alias("first")),
+    v.with_views("sections", "placed", "definitions") + f", {_TERMS} SELECT s.doc_id, section_number, count(term) AS terms, min(term) AS first FROM placed s LEFT JOIN terms t ON t.doc_id = s.doc_id AND place >= char_start AND place < char_start + chars GROUP BY 1, 2",
 )
 register(
     "range_left_all",
-    lambda spark, d: in_span(v.placed(v.sections(spark, d)), _terms(spark, d), "left").groupBy("doc_id", "section_number").agg(F.count("term").alias("terms"), F.min("term").alias("first")),
+    lambda spark, d: in_span(v.placed_sections(spark, d), _terms(spark, d), "left").groupBy("doc_id", "section_number").agg(F.count("term").alias("terms"), F.min("term").alias("first")),
     v.with_views("sections", "placed", "definitions") + f", {_TERMS} SELECT s.doc_id, section_number, count(term) AS terms, min(term) AS first FROM placed s LEFT JOIN terms t ON t.doc_id = s.doc_id AND place >= char_start AND place < char_start + chars GROUP BY 1, 2",
 )
 register(
     "range_inner",
-    lambda spark, d: in_span(v.placed(v.sections(spark, d)), _terms(spark, d), "inner").where(F.col("text").contains(F.col("term"))).groupBy("template_family", "pattern_engine").agg(F.count(F.lit(1)).alias("n")),
+    lambda spark, d: in_span(v.placed_sections(spark, d), _terms(spark, d), "inner").where(F.col("text").contains(F.col("term"))).groupBy("template_family", "pattern_engine").agg(F.count(F.lit(1)).alias("n")),
     v.with_views("sections", "placed", "definitions") + f", {_TERMS} SELECT template_family, pattern_engine, count(*) AS n FROM placed s JOIN terms t ON t.doc_id = s.doc_id AND place >= char_start AND place < char_start + chars AND contains(s.text, t.term) GROUP BY 1, 2",
 )
 
@@ -92,8 +94,8 @@ register(
 )
 register(
     "lateral_top1",
-    lambda spark, d: best_clause(spark, d).where("section_number < 10"),
-    v.with_views("sections", "clauses") + "SELECT s.doc_id, s.section_number, c.clause_id, c.depth FROM sections s LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id, section_number ORDER BY is_structural DESC, depth DESC, clause_number) AS k FROM clauses) c ON c.doc_id = s.doc_id AND c.section_number = s.section_number AND k = 1 WHERE s.section_number < 10",
+    best_clause,
+    v.with_views("sections", "clauses") + "SELECT s.doc_id, s.section_number, c.clause_id, c.depth FROM sections s LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id, section_number ORDER BY is_structural DESC, depth DESC, clause_number) AS k FROM clauses) c ON c.doc_id = s.doc_id AND c.section_number = s.section_number AND k = 1",
 )
 register(
     "orphan_anti",
@@ -112,18 +114,25 @@ def squeezed(column: str):
 
 
 def phrase_containment(spark, d):
-    """Benchmark items found in a text: an equi join on the item's first six words, then the exact containment.
+    """Benchmark items found in a text: an equi join on the item's first words, then the exact containment.
 
-    Long phrases are never compared with every text: each side is keyed by word n-grams.
+    Only (document, hash of n words) rows meet the items; the texts join the distinct
+    candidates. Items of under six words are keyed by all of theirs, so texts give runs
+    of the few lengths that items have.
     """
-    def grams(df: DataFrame) -> DataFrame:
-        df = df.withColumn("words", F.filter(F.split(F.lower("text"), "[\\x20\\x09-\\x0D]+"), lambda w: w != ""))
-        df = df.withColumn("n", F.size("words")).where("n >= 6")
-        return df.withColumns({"line": F.array_join("words", " "), "grams": F.transform(F.sequence(F.lit(1), F.col("n") - 5), lambda i: F.array_join(F.slice("words", i, 6), " "))})
-
-    items = grams(v.table(spark, d, "benchmark")).select("item_id", F.col("line").alias("phrase"), F.get("grams", 0).alias("g"))
-    docs = grams(v.table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.concat(F.lit(" "), "line", F.lit(" ")).alias("body"), F.explode(F.array_distinct("grams")).alias("g"))
-    return docs.join(items, "g").where(F.col("body").contains(F.concat(F.lit(" "), F.col("phrase"), F.lit(" ")))).select("doc_id", "item_id").distinct()
+    words = F.filter(F.split(F.lower("text"), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    hashed = lambda i, n: F.xxhash64(F.array_join(F.slice("words", i, n), " "))
+    items = v.table(spark, d, "benchmark").select("item_id", words.alias("words")).where(F.size("words") > 0).withColumn("n", F.least(F.lit(6), F.size("words")))
+    lengths = [r["n"] for r in items.select("n").distinct().collect()]  # six at most
+    items = items.select("item_id", F.array_join("words", " ").alias("phrase"), F.xxhash64("n", hashed(F.lit(1), F.col("n"))).alias("key"))
+    texts = v.table(spark, d, "documents").select("doc_id", words.alias("words"))
+    slices = lambda n: F.transform(F.sequence(F.lit(1), F.size("words") - (n - 1)), lambda i: F.xxhash64(F.lit(n), hashed(i, n)))
+    runs = [F.when(F.size("words") >= n, slices(n)).otherwise(F.array().cast("array<bigint>")) for n in lengths]
+    keys = texts.select("doc_id", F.explode(F.concat(*runs)).alias("key")) if runs else texts.select("doc_id", F.lit(0).cast("long").alias("key"))
+    found = keys.join(items.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
+    bodies = texts.select("doc_id", F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")).alias("body"))
+    named = bodies.join(found, "doc_id").join(items.select("item_id", "phrase"), "item_id")
+    return named.where(F.col("body").contains(F.concat(F.lit(" "), F.col("phrase"), F.lit(" ")))).select("doc_id", "item_id")
 
 
 register(
@@ -131,29 +140,40 @@ register(
     phrase_containment,
     """WITH i AS (SELECT item_id, array_to_string(regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+'), ' ') AS phrase, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS n FROM benchmark),
 b AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+'), ' ') || ' ' AS body FROM documents)
-SELECT doc_id, item_id FROM b JOIN i ON contains(body, ' ' || phrase || ' ') AND n >= 6""",
+SELECT doc_id, item_id FROM b JOIN i ON contains(body, ' ' || phrase || ' ') AND n > 0""",
 )
 
 
-def heading_patterns(spark, d):
-    """Market segments against headings, both ways round with white space squeezed; the few patterns become one expression."""
-    patterns = ("the of", "und die", "de la", "is and")
+def heading_patterns(headings: DataFrame, patterns: DataFrame, most: int = 200) -> DataFrame:
+    """(doc_id, section_number, pattern): patterns against headings, both ways round with white space squeezed.
+
+    Patterns are a table of a few hundred words; up to ``most`` at a time become one
+    expression, so no heading is paired with every pattern.
+    """
+    words = [r["pattern"] for r in patterns.select("pattern").distinct().orderBy("pattern").collect()]
     h = squeezed("heading")
-    hit = F.array_compact(F.array(*(F.when((h.contains(p.replace(" ", ""))) | ((F.length(h) >= 4) & F.lit(p.replace(" ", "")).contains(h)), F.lit(p)) for p in patterns)))
-    return v.sections(spark, d).select("doc_id", "section_number", F.explode(hit).alias("pattern"))
+    blocks = []
+    for k in range(0, max(1, len(words)), most):
+        hit = F.array_compact(F.array(*(F.when((h.contains(p.replace(" ", ""))) | ((F.length(h) >= 4) & F.lit(p.replace(" ", "")).contains(h)), F.lit(p)) for p in words[k : k + most])))
+        blocks.append(headings.select("doc_id", "section_number", F.explode(hit.cast("array<string>")).alias("pattern")))
+    return reduce(DataFrame.unionByName, blocks)
+
+
+def _patterns(spark) -> DataFrame:
+    return spark.createDataFrame([("the of",), ("und die",), ("de la",), ("is and",)], "pattern string")
 
 
 register(
     "heading_patterns",
-    heading_patterns,
+    lambda spark, d: heading_patterns(v.sections(spark, d), _patterns(spark)),
     v.with_views("sections")
     + """, p AS (SELECT unnest(['the of', 'und die', 'de la', 'is and']) AS pattern), h AS (SELECT doc_id, section_number, regexp_replace(lower(heading), '\\s+', '', 'g') AS h FROM sections)
 SELECT doc_id, section_number, pattern FROM h JOIN p ON contains(h, replace(pattern, ' ', '')) OR (length(h) >= 4 AND contains(replace(pattern, ' ', ''), h))""",
 )
 
 
-def terms_in_text(spark, d, which="true"):
-    t = v.definitions(spark, d).where(which).select("doc_id", F.lower("term").alias("term")).distinct()
+def terms_in_text(spark, d):
+    t = v.definitions(spark, d).select("doc_id", F.lower("term").alias("term")).distinct()
     s = v.sections(spark, d).select("doc_id", "section_number", F.lower("text").alias("low"))
     return s.join(t, "doc_id").where(F.col("low").contains(F.col("term"))).groupBy("doc_id", "section_number").agg(F.count(F.lit(1)).alias("terms"))
 
@@ -165,23 +185,30 @@ register(
 )
 register(
     "terms_in_text",
-    lambda spark, d: terms_in_text(spark, d, "length(term) >= 8"),
-    v.with_views("sections", "definitions") + "SELECT s.doc_id, section_number, count(*) AS terms FROM sections s JOIN (SELECT DISTINCT doc_id, lower(term) AS term FROM definitions WHERE length(term) >= 8) t ON t.doc_id = s.doc_id AND contains(lower(s.text), t.term) GROUP BY 1, 2",
+    terms_in_text,
+    v.with_views("sections", "definitions") + "SELECT s.doc_id, section_number, count(*) AS terms FROM sections s JOIN (SELECT DISTINCT doc_id, lower(term) AS term FROM definitions) t ON t.doc_id = s.doc_id AND contains(lower(s.text), t.term) GROUP BY 1, 2",
 )
 
 
 def alias_resolution(spark, d):
-    """Old family ids to canonical ones and their descendants, over a region - nation tree."""
+    """Links under old or canonical family ids: each id resolves to all its canonical families, and those to themselves and their descendants."""
     nation = v.table(spark, d, "nation").join(v.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    alias = nation.select(F.concat(F.lit("old-"), F.lower("r_name")).alias("alias"), F.col("r_name").alias("canonical"), F.concat("r_name", F.lit("."), "n_name").alias("descendant"))
-    s = v.table(spark, d, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.concat("r_name", F.lit("."), "n_name").alias("path"))
-    return s.join(alias, s["path"] == alias["descendant"]).groupBy("alias", "canonical").agg(F.count(F.lit(1)).alias("n"))
+    tree = nation.select("r_name", F.concat("r_name", F.lit("."), "n_name").alias("path"))
+    families = tree.select(F.col("r_name").alias("canonical"), F.explode(F.array("path", "r_name")).alias("path")).distinct()
+    # An old id stands for two regions; a canonical one for itself.
+    regions = v.table(spark, d, "region").select("r_regionkey", "r_name")
+    old = regions.select(F.concat(F.lit("old-"), (F.col("r_regionkey") % 2).cast("string")).alias("alias"), F.col("r_name").alias("canonical"))
+    alias = old.unionByName(regions.select(F.col("r_name").alias("alias"), F.col("r_name").alias("canonical"))).join(families, "canonical")
+    s = v.table(spark, d, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.when(F.col("s_suppkey") % 3 == 0, F.col("r_name")).otherwise(F.concat("r_name", F.lit("."), "n_name")).alias("path"))
+    return s.join(alias, "path").groupBy("alias", "canonical").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("path").alias("paths"))
 
 
 register(
     "alias_resolution",
     alias_resolution,
-    "SELECT 'old-' || lower(r_name) AS alias, r_name AS canonical, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2",
+    """WITH n AS (SELECT r_regionkey, r_name, n_nationkey, r_name || '.' || n_name AS path FROM nation JOIN region ON n_regionkey = r_regionkey), f AS (SELECT DISTINCT r_name AS canonical, path FROM n UNION SELECT DISTINCT r_name, r_name FROM n),
+a AS (SELECT 'old-' || (r_regionkey % 2) AS alias, r_name AS canonical FROM region UNION ALL SELECT r_name, r_name FROM region), s AS (SELECT CASE WHEN s_suppkey % 3 = 0 THEN r_name ELSE path END AS path FROM supplier JOIN n ON s_nationkey = n_nationkey)
+SELECT alias, canonical, count(*) AS n, count(DISTINCT path) AS paths FROM s JOIN f USING (path) JOIN a USING (canonical) GROUP BY 1, 2""",
 )
 
 

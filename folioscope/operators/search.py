@@ -44,7 +44,7 @@ def after_key(score: str, keys: list[str], last: tuple) -> Column:
 
 def section_search(spark, d):
     hit = flt.compiled("heading", flt.any_of("the", "der"))
-    df = v.placed(v.sections(spark, d)).where(hit & (F.col("article_num") <= 2))
+    df = v.placed_sections(spark, d).where(hit & (F.col("article_num") <= 2))
     return page(df.select("doc_id", "section_number", "heading", "char_start"), [F.col("doc_id"), F.col("char_start")], 200)
 
 
@@ -81,6 +81,10 @@ register(
 )
 
 _NESTED = flt.all_of(flt.any_of("tion", "keit", "ment"), flt.none_of("100%", "_x"), {"operator": "or", "children": [{"value": "and", "negate": True}, flt.all_of({"value": "the"}, {"value": "of"})]})
+_DEEP = {"value": "a"}
+for _ in range(6):
+    _DEEP = flt.all_of(_DEEP)
+_FILTERS = {"nested": _NESTED, "wild": flt.any_of(*["a*"] * 11), "deep": _DEEP, "empty": flt.all_of({"operator": "or", "children": []}, {"value": ""}), "near": flt.near("a", "b", 3)}
 register(
     "filter_nested",
     lambda spark, d: v.documents(spark, d).where(flt.compiled("text", _NESTED)).select("doc_id", "template_family"),
@@ -128,18 +132,18 @@ register(
 )
 register(
     "article_filter",
-    lambda spark, d: v.articles(spark, d).where(flt.article_filter("Article IV") | flt.article_filter("the", negate=False)).select("doc_id", "article_num", "title"),
-    v.with_views("sections", "articles") + "SELECT doc_id, article_num, title FROM articles WHERE title ILIKE '%Article IV%' OR concept ILIKE '%Article IV%' OR article_num = 4 OR title ILIKE '%the%' OR concept ILIKE '%the%'",
+    lambda spark, d: v.articles(spark, d).where(flt.article_filter("Article iv") | flt.article_filter("the", negate=False)).select("doc_id", "article_num", "title"),
+    v.with_views("sections", "articles") + "SELECT doc_id, article_num, title FROM articles WHERE title ILIKE '%Article iv%' OR concept ILIKE '%Article iv%' OR article_num = 4 OR title ILIKE '%the%' OR concept ILIKE '%the%'",
 )
 
 
 def multi_field(spark, d):
     """Heading, article, clause and defined term at once: one scan of sections and two semi joins."""
-    s = v.placed(v.sections(spark, d)).where(flt.compiled("heading", flt.any_of("an", "en")))
+    s = v.placed_sections(spark, d).where(flt.compiled("heading", flt.any_of("an", "en")))
     s = s.join(v.articles(spark, d).where(flt.article_filter("e")), ["doc_id", "article_num"], "left_semi")
     c = v.clauses(spark, d).where("is_structural and quantity > 10").select("doc_id", "section_number")
     s = s.join(c, ["doc_id", "section_number"], "left_semi")
-    t = v.definitions(spark, d).where("length(term) >= 6").select(F.col("doc_id"), (F.col("ordinal") * 40 + 1).alias("at"))
+    t = v.definitions(spark, d).select(F.col("doc_id"), (F.col("ordinal") * 40 + 1).alias("at"))
     s = s.join(t, (s["doc_id"] == t["doc_id"]) & (t["at"] >= s["char_start"]) & (t["at"] < s["char_start"] + s["chars"]), "left_semi")
     return s.select("doc_id", "section_number", "heading")
 
@@ -151,14 +155,26 @@ register(
     + """SELECT doc_id, section_number, heading FROM placed s WHERE (heading ILIKE '%an%' OR heading ILIKE '%en%')
 AND EXISTS (SELECT 1 FROM articles a WHERE a.doc_id = s.doc_id AND a.article_num = s.article_num AND (a.title ILIKE '%e%' OR a.concept ILIKE '%e%'))
 AND EXISTS (SELECT 1 FROM clauses c WHERE c.doc_id = s.doc_id AND c.section_number = s.section_number AND c.is_structural AND c.quantity > 10)
-AND EXISTS (SELECT 1 FROM definitions t WHERE t.doc_id = s.doc_id AND length(t.term) >= 6 AND t.ordinal * 40 + 1 >= s.char_start AND t.ordinal * 40 + 1 < s.char_start + s.chars)""",
+AND EXISTS (SELECT 1 FROM definitions t WHERE t.doc_id = s.doc_id AND t.ordinal * 40 + 1 >= s.char_start AND t.ordinal * 40 + 1 < s.char_start + s.chars)""",
 )
 
 
 def traffic_light(spark, d):
-    """The verdict of every node of a filter on every document, in one projection."""
-    df = v.documents(spark, d).select("doc_id", F.explode(flt.evaluated("text", _NESTED)).alias("e"))
-    return df.groupBy("e.path").agg(F.count_if("e.matched").alias("matched"), F.count_if(~F.col("e.matched")).alias("failed"))
+    """How many documents each node of a filter matches: leaves are columns, nodes are booleans over them, one pass of counts."""
+    leaves, verdicts = flt.explained("text", _NESTED)
+    df = v.table(spark, d, "documents").select(*(c.alias(k) for k, c in leaves.items()))
+    counts = [F.struct(F.lit(p).alias("path"), F.count_if(c).alias("matched"), F.count_if(~c).alias("failed")).alias(f"n{i}") for i, (p, c) in enumerate(verdicts.items())]
+    return df.agg(*counts).select(F.explode(F.array(*(f"n{i}" for i in range(len(counts))))).alias("e")).select("e.*")  # one row
+
+
+def why_not(spark, d):
+    """Of each document that a filter misses: the parts of its top group that fail, and those that would do if muted alone."""
+    leaves, verdicts = flt.explained("text", _NESTED)
+    df = v.table(spark, d, "documents").select("doc_id", *(c.alias(k) for k, c in leaves.items()))
+    tops = {p: c for p, c in verdicts.items() if p.count(".") == 1}
+    failed = F.array_compact(F.array(*(F.when(~c, F.lit(p)) for p, c in tops.items())))
+    df = df.where(~verdicts["0"]).select("doc_id", failed.alias("f"))
+    return df.select("doc_id", F.array_join("f", ",").alias("failed"), F.when(F.size("f") == 1, F.get("f", F.lit(0))).alias("mute"))
 
 
 register(
@@ -171,6 +187,22 @@ n AS (SELECT unnest(['0', '0.0', '0.0.0', '0.0.1', '0.0.2', '0.1', '0.1.0', '0.1
   unnest([(a OR b OR c) AND NOT (p OR q) AND (NOT x OR (y AND z)), a OR b OR c, a, b, c, NOT (p OR q), p, q, NOT x OR (y AND z), NOT x, y AND z, y, z]) AS m FROM t)
 SELECT path, count(*) FILTER (m) AS matched, count(*) FILTER (NOT m) AS failed FROM n GROUP BY path""",
 )
+register(
+    "why_not",
+    why_not,
+    """WITH t AS (SELECT doc_id, contains(lower(text), 'tion') OR contains(lower(text), 'keit') OR contains(lower(text), 'ment') AS a, NOT (contains(lower(text), '100%') OR contains(lower(text), '_x')) AS b, NOT contains(lower(text), 'and') OR (contains(lower(text), 'the') AND contains(lower(text), 'of')) AS c FROM documents)
+SELECT doc_id, concat_ws(',', CASE WHEN NOT a THEN '0.0' END, CASE WHEN NOT b THEN '0.1' END, CASE WHEN NOT c THEN '0.2' END) AS failed, CASE WHEN a::INT + b::INT + c::INT = 2 THEN CASE WHEN NOT a THEN '0.0' WHEN NOT b THEN '0.1' ELSE '0.2' END END AS mute FROM t WHERE NOT (a AND b AND c)""",
+)
+register(
+    "filter_costs",
+    lambda spark, d: spark.createDataFrame([(n, flt.cost(f), ",".join(flt.problems(f))) for n, f in _FILTERS.items()], "name string, cost int, problems string"),
+    "SELECT unnest(['nested', 'wild', 'deep', 'empty', 'near']) AS name, unnest([15, 34, 7, 3, 7]) AS cost, unnest(['', 'too many wildcards', 'nested too deeply', 'empty group,empty value', '']) AS problems",
+)
+register(
+    "legacy_flat_terms",
+    lambda spark, d: v.sections(spark, d).where(flt.left_to_right("heading", [("", "the"), ("or", "and"), ("and not", "of")])).select("doc_id", "section_number"),
+    v.with_views("sections") + "SELECT doc_id, section_number FROM sections WHERE (heading ILIKE '%the%' OR heading ILIKE '%and%') AND NOT heading ILIKE '%of%'",
+)
 register(
     "cohort_predicate",
     lambda spark, d: v.sections(spark, d).join(v.documents(spark, d).where("cohort and word_count >= 100").select("doc_id"), "doc_id", "left_semi").groupBy("template_family").agg(F.count(F.lit(1)).alias("n_sections")),
@@ -194,9 +226,20 @@ register(
     lambda spark, d: page(v.links(spark, d).where(after_key("confidence", ["doc_id", "link_id"], (0.5, 100, 1))).select("link_id", "doc_id", "confidence"), [F.desc("confidence"), F.col("doc_id"), F.col("link_id")], 50),
     v.with_views("links") + "SELECT link_id, doc_id, confidence FROM links WHERE confidence < 0.5 OR (confidence = 0.5 AND (doc_id > 100 OR (doc_id = 100 AND link_id > 1))) ORDER BY confidence DESC, doc_id, link_id LIMIT 50",
 )
+SORTABLE = {"text_length": "text_length", "words": "word_count", "document": "doc_id"}
+
+
+def sorted_page(df: DataFrame, by: str, down: bool, limit: int, offset: int) -> DataFrame:
+    """A page in one of the orders that are allowed; ties by document."""
+    if by not in SORTABLE:
+        raise ValueError(f"cannot sort by {by!r}")
+    column = F.col(SORTABLE[by])
+    return page(df, [column.desc() if down else column.asc(), F.col("doc_id")], limit, offset)
+
+
 register(
     "offset_page",
-    lambda spark, d: page(v.documents(spark, d).select("doc_id", "text_length"), [F.desc("text_length"), F.col("doc_id")], 25, 50),
+    lambda spark, d: sorted_page(v.documents(spark, d).select("doc_id", "text_length"), "text_length", True, 25, 50),
     v.with_views("docs") + "SELECT doc_id, text_length FROM docs ORDER BY text_length DESC, doc_id LIMIT 25 OFFSET 50",
 )
 register(
@@ -222,24 +265,34 @@ register(
 
 
 def unified_query(spark, d):
-    """One predicate over articles, sections and clauses: hits of each level and the documents they share."""
+    """One predicate over articles, sections and clauses: hits of each level in documents that have all three, and those documents."""
     a = v.articles(spark, d).where(flt.article_filter("the")).select("doc_id", F.lit("article").alias("level"))
     s = v.sections(spark, d).where(flt.compiled("heading", flt.any_of("the"))).select("doc_id", F.lit("section").alias("level"))
     c = v.clauses(spark, d).where("label = 'O' and depth >= 2").select("doc_id", F.lit("clause").alias("level"))
-    return reduce(DataFrame.unionByName, (a, s, c)).groupBy("level").agg(F.count(F.lit(1)).alias("hits"), F.countDistinct("doc_id").alias("docs"))
+    per = reduce(DataFrame.unionByName, (a, s, c)).groupBy("doc_id").agg(*(F.count_if(F.col("level") == x).alias(x) for x in ("article", "section", "clause")))
+    per = per.where("article > 0 and section > 0 and clause > 0")
+    x = per.agg(F.count(F.lit(1)).alias("docs"), *(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in ("article", "section", "clause")))
+    return x.select(F.explode(F.array(*(F.struct(F.lit(k).alias("level"), F.col(k).alias("hits"), "docs") for k in ("article", "section", "clause")))).alias("e")).select("e.*")  # one row
 
 
 register(
     "unified_query",
     unified_query,
     v.with_views("sections", "articles", "clauses")
-    + """SELECT level, count(*) AS hits, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, 'article' AS level FROM articles WHERE title ILIKE '%the%' OR concept ILIKE '%the%'
-UNION ALL SELECT doc_id, 'section' FROM sections WHERE heading ILIKE '%the%' UNION ALL SELECT doc_id, 'clause' FROM clauses WHERE label = 'O' AND depth >= 2) GROUP BY level""",
+    + """, h AS (SELECT doc_id, 'article' AS level FROM articles WHERE title ILIKE '%the%' OR concept ILIKE '%the%' UNION ALL SELECT doc_id, 'section' FROM sections WHERE heading ILIKE '%the%' UNION ALL SELECT doc_id, 'clause' FROM clauses WHERE label = 'O' AND depth >= 2),
+a AS (SELECT doc_id FROM h GROUP BY 1 HAVING count(DISTINCT level) = 3) SELECT l.level, count(h.doc_id) AS hits, (SELECT count(*) FROM a) AS docs FROM (SELECT unnest(['article', 'section', 'clause']) AS level) l LEFT JOIN (SELECT * FROM h WHERE doc_id IN (SELECT doc_id FROM a)) h USING (level) GROUP BY 1""",
 )
+def clause_search(spark, d):
+    """Clauses within a range of depths, in sections whose heading matches, with a keyword in the heading or the label."""
+    heads = v.sections(spark, d).where(F.col("heading").rlike("(?i)^(the|in)")).select("doc_id", "section_number", "heading")
+    c = v.clauses(spark, d).where(F.col("depth").between(2, 3)).join(heads, ["doc_id", "section_number"])
+    return c.where(flt.compiled("heading", flt.any_of("of")) | flt.compiled("label", flt.any_of("o"))).select("clause_id", "section_number", "depth")
+
+
 register(
     "clause_search",
-    lambda spark, d: v.clauses(spark, d).where(F.col("depth").between(2, 3)).join(v.sections(spark, d).where(F.col("heading").rlike("(?i)^the")).select("doc_id", "section_number"), ["doc_id", "section_number"], "left_semi").select("clause_id", "section_number", "depth"),
-    v.with_views("sections", "clauses") + "SELECT clause_id, section_number, depth FROM clauses c WHERE depth BETWEEN 2 AND 3 AND section_number IN (SELECT section_number FROM sections s WHERE s.doc_id = c.doc_id AND regexp_matches(heading, '(?i)^the'))",
+    clause_search,
+    v.with_views("sections", "clauses") + "SELECT clause_id, section_number, depth FROM clauses JOIN sections USING (doc_id, section_number) WHERE depth BETWEEN 2 AND 3 AND regexp_matches(heading, '(?i)^(the|in)') AND (heading ILIKE '%of%' OR label ILIKE '%o%')",
 )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..plans import views as v
+from ..plans.ranks import value_ranks
 from ..registry import register
 
 
@@ -29,7 +30,7 @@ def stratified(df: DataFrame, group: str, key: str, n: int, seed: int = 42) -> D
     order = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}")))
     total = df.agg(F.count(F.lit(1)).alias("_t"))
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_g"))
-    df = df.withColumn("_k", F.row_number().over(W.partitionBy(group).orderBy(order)))
+    df = df.withColumn("_k", F.row_number().over(W.partitionBy(group).orderBy(order))).where(F.col("_k") <= max(1, n))  # a literal bound, which ranks within tasks first
     df = df.join(sizes, group).join(F.broadcast(total), F.lit(True))  # one row
     return df.where(F.col("_k") <= F.greatest(F.lit(1), F.rint(F.col("_g") * F.lit(float(n)) / F.col("_t")).cast("int"))).drop("_k", "_g", "_t")
 
@@ -74,13 +75,9 @@ register(
 
 
 def empirical_rank(df: DataFrame, value: str, key: str) -> DataFrame:
-    """Share of rows at or below each row's value, without a global sort: counts by distinct value, summed in ranges."""
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    buckets = counts.withColumn("_b", F.floor(F.log2(F.greatest(F.lit(1), F.col(value)))).cast("int"))
-    below = buckets.groupBy("_b").agg(F.sum("_n").alias("_m")).withColumn("_below", F.coalesce(F.sum("_m").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    total = df.agg(F.count(F.lit(1)).alias("_t"))
-    upto = buckets.withColumn("_in", F.sum("_n").over(W.partitionBy("_b").orderBy(value))).join(F.broadcast(below.select("_b", "_below")), "_b").join(F.broadcast(total), F.lit(True))
-    return df.select(key, value).join(upto.select(value, ((F.col("_below") + F.col("_in")) / F.col("_t")).alias("cdf")), value)
+    """Share of rows at or below each row's value."""
+    cdf = value_ranks(df, value).select(F.col("value").alias(value), ((F.col("below") + F.col("n")) / F.col("total")).alias("cdf"))
+    return df.select(key, value).join(cdf, value)
 
 
 register(
@@ -91,10 +88,13 @@ register(
 
 
 def spearman(spark, d):
-    tie = lambda c: W.partitionBy("template_family", c)
-    rank = lambda c: (F.rank().over(W.partitionBy("template_family").orderBy(c)) + (F.count(F.lit(1)).over(tie(c)) - 1) / 2.0)
-    x = v.documents(spark, d).select("template_family", rank("text_length").alias("a"), rank("word_count").alias("b"))
-    return x.groupBy("template_family").agg(F.round(F.corr("a", "b"), 4).alias("spearman"), F.count(F.lit(1)).alias("n")).where("n >= 3")
+    """Correlation of mean ranks within each family; ranks come from counts of distinct values."""
+    df = v.documents(spark, d).select("template_family", "text_length", "word_count")
+    for column, name in (("text_length", "a"), ("word_count", "b")):
+        ranks = value_ranks(df.select("template_family", column), column, "template_family")
+        ranks = ranks.select(F.col("template_family").alias("_f"), F.col("value").alias("_v"), (F.col("below") + (F.col("n") + 1) / 2.0).alias(name))
+        df = df.join(ranks, F.col("template_family").eqNullSafe(F.col("_f")) & (F.col(column) == F.col("_v"))).drop("_f", "_v")
+    return df.groupBy("template_family").agg(F.round(F.corr("a", "b"), 4).alias("spearman"), F.count(F.lit(1)).alias("n")).where("n >= 3")
 
 
 register(

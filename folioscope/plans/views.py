@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 SECTIONS_IN_ARTICLE = 5
 HEADING_CHARS = 40
@@ -49,10 +48,35 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def placed(df: DataFrame) -> DataFrame:
+def with_line_starts(df: DataFrame, lines: str, name: str, first: int = 0, step: int = 256) -> DataFrame:
+    """``df`` with the first character of each line of the array ``lines``, one character lying between lines.
+
+    Sums run within steps of lines and then over steps, so that the work grows hardly
+    faster than the number of lines, and nothing is shuffled.
+    """
+    pushed = lambda s, n: F.array_append(s, F.element_at(s, -1) + n)
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / step).cast("int")), lambda k: F.slice(F.col(lines), k * step + 1, step))
+    df = df.withColumn("_sums", F.transform(chunks, lambda c: F.aggregate(c, F.array(F.lit(0)), lambda s, x: pushed(s, F.length(x) + 1))))
+    df = df.withColumn("_offsets", F.aggregate("_sums", F.array(F.lit(first)), lambda s, b: pushed(s, F.element_at(b, -1))))
+    starts = F.flatten(F.zip_with("_sums", F.slice("_offsets", F.lit(1), F.size("_sums")), lambda b, o: F.transform(F.slice(b, F.lit(1), F.size(b) - 1), lambda x: x + o)))
+    return df.withColumn(name, starts).drop("_sums", "_offsets")
+
+
+def placed_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections with char_start, 1-based within the document."""
-    before = W.partitionBy("doc_id").orderBy("section_number").rowsBetween(W.unboundedPreceding, -1)
-    return df.withColumn("char_start", F.coalesce(F.sum(F.col("chars") + 1).over(before), F.lit(0)) + 1)
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.col("source").alias("template_family"), F.split("text", "\n").alias("lines"))
+    df = with_line_starts(docs, "lines", "starts", 1)
+    df = df.select("doc_id", "template_family", F.posexplode(F.arrays_zip("lines", "starts")).alias("p", "x"))
+    return df.select(
+        "doc_id",
+        "template_family",
+        (F.col("p") + 1).cast("long").alias("section_number"),
+        (F.floor(F.col("p") / SECTIONS_IN_ARTICLE) + 1).cast("long").alias("article_num"),
+        F.left("x.lines", F.lit(HEADING_CHARS)).alias("heading"),
+        F.col("x.lines").alias("text"),
+        F.length("x.lines").cast("long").alias("chars"),
+        F.col("x.starts").cast("long").alias("char_start"),
+    )
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
