@@ -32,7 +32,8 @@ def oracle_sql() -> dict[str, str]:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from .operators import aggregates, joins, search, windows  # noqa: F401
+    from .operators import aggregates, discovery, edge_cases, graphs, joins, parsing, scoring, search, vectors, windows  # noqa: F401
+    from .sources import files  # noqa: F401
 
 
 load()
