@@ -11,7 +11,7 @@ def test_shards_with_file_names_and_merged_columns(spark, tmp_path):
     files.write_shards(spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, title string"), str(tmp_path / "x/1"))
     files.write_shards(spark.createDataFrame([(2, 5)], "doc_id long, n long"), str(tmp_path / "x/2"))
     df = files.shards(spark, str(tmp_path / "x"))
-    rows = sorted((r["doc_id"], r["title"], r["n"]) for r in df.collect())
+    rows = [(r["doc_id"], r["title"], r["n"]) for r in df.collect()]
     assert sorted(df.columns) == ["doc_id", "n", "shard", "title"] and len(rows) == 3
     assert all(r["shard"].endswith(".parquet") for r in df.select("shard").collect())
     newest = files.merged(df, ["doc_id"], ["n"]).collect()
