@@ -7,13 +7,15 @@ Words are maximal runs of bytes outside ``[\\x20\\x09-\\x0D]``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -22,6 +24,29 @@ _BASE = 0x9E3779B97F4A7C15
 _POWERS: dict[int, np.ndarray] = {}
 
 
+def releasing(step: Callable) -> Callable:
+    """A task's function over batches, after which freed memory goes back to the system.
+
+    Python workers stay alive between tasks and would keep it, beside those that work.
+    """
+
+    @wraps(step)
+    def stepped(batches):
+        try:
+            yield from step(batches)
+        finally:
+            give_back()
+
+    return stepped
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim is not None:
+        trim(0)
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """``base**i`` modulo 2**64 for i in 0..n-1; kept and grown by doubling."""
     have = _POWERS.get(base)
@@ -141,3 +166,27 @@ def gather(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
         return data[:0]
     first = np.cumsum(lengths) - lengths
     return data[np.arange(int(lengths.sum()), dtype=np.int64) + np.repeat(starts - first, lengths)]
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The groups of equal integer ``keys``, from batches sorted by them; one group is held at a time."""
+    held = None
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        table = pa.Table.from_batches([batch])
+        columns = [table.column(k).to_numpy() for k in keys]
+        new = np.zeros(len(table), bool)
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        cut = [0, *np.flatnonzero(new).tolist(), len(table)]
+        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+            part = table.slice(lo, hi - lo)
+            if held is not None and lo == 0 and all(held.column(k)[0] == table.column(k)[0] for k in keys):
+                held = pa.concat_tables([held, part])
+                continue
+            if held is not None:
+                yield held
+            held = part
+    if held is not None:
+        yield held

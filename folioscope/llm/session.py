@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,11 +14,15 @@ SPACES = " \t\n\x0b\x0c\r"
 SPACE_CLASS = "[\\x20\\x09-\\x0D]"
 
 
-def shared(spark: SparkSession) -> None:
-    """Use the folder of spark.checkpoint.dir; only where it is unset (tests), a local one."""
+def shared(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; where that is unset, a temporary one in local mode and one in the warehouse on a cluster."""
     context = spark.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="folioscope-"))
+    folder = context._jsc.sc().getCheckpointDir()
+    if not folder.isDefined():
+        local = re.fullmatch(r"local(\[.*\])?", context.master)
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or (tempfile.mkdtemp(prefix="folioscope-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_folioscope"))
+        folder = context._jsc.sc().getCheckpointDir()
+    return folder.get()
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -26,6 +31,14 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """``name``, with underscores before it until no column of the frames has it."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def join_small(big: DataFrame, small: DataFrame, key: str, salt_on: str, most: int = 20_000, salts: int = 64, how: str = "left") -> DataFrame:
     """Join by one key: broadcast where ``small`` is counted to hold at most ``most`` rows.
 
@@ -47,8 +60,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kept_table(df: DataFrame) -> DataFrame:
     """Like ``kept``, as compressed Parquet in the same shared folder; for wide or long tables."""
     spark = df.sparkSession
-    shared(spark)
-    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    path = f"{folder}/table-{uuid.uuid4().hex}"
+    path = f"{shared(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.kept_at = path
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete what ``kept_table`` wrote, once nothing reads it any more."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table.kept_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

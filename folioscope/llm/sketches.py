@@ -11,11 +11,12 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import mix
+from . import session
+from .arrowtext import binary_column, mix, releasing
 
-#: Blocks of a bitmap, which merge apart from one another.
-BLOCKS = 256
-KIND = "block int, salt int, kind int, once binary, twice binary"
+#: A block of a bitmap has 2**20 cells at most, so that what its group reads follows from the cells an entry, not from the input.
+BLOCK_LOG = 20
+KIND = "block int, once binary, twice binary"
 
 
 def cells(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -25,51 +26,42 @@ def cells(hashes: np.ndarray, bits: int) -> np.ndarray:
 def merged_sketch(cells_of: DataFrame, bits: int) -> bytes:
     """One bitmap of cells counted twice or more, from rows (block, once, twice) of partial sketches.
 
-    Partial sketches of a block merge in two steps, so no task reads more than a
-    few hundred of them whatever the number of tasks.
+    Partial sketches list cells, so a block's group holds four bytes for each entry
+    of the block (an eighth of its cells on average) and each task's share of the few
+    cells that every task has; the dense form exists for one block at a time.
     """
-    size = (1 << bits) // BLOCKS
+    size = 1 << min(bits, BLOCK_LOG)
 
     def merge(group: pa.Table) -> pa.Table:
         one = np.zeros(size, bool)
         two = np.zeros(size, bool)
-        for kind, once, twice in zip(group.column("kind").to_pylist(), group.column("once"), group.column("twice"), strict=True):
-            for blob, both in ((once, False), (twice, True)):
-                if kind:
-                    seen = np.unpackbits(np.frombuffer(blob.as_py(), np.uint8)).view(bool)
-                    two |= seen if both else one & seen
-                    one |= seen
-                else:
-                    at = np.frombuffer(blob.as_py(), np.uint32)
-                    two[at[one[at]]] = True
-                    one[at] = True
-                    if both:
-                        two[at] = True
-        return pa.table({"block": group.column("block").slice(0, 1), "salt": pa.array([0], pa.int32()), "kind": pa.array([1], pa.int32()), "once": [np.packbits(one).tobytes()], "twice": [np.packbits(two).tobytes()]})
-
-    kind = "block int, salt int, kind int, once binary, twice binary"
-    level = cells_of.groupBy("block", "salt").applyInArrow(merge, kind)
-    level = level.groupBy("block").applyInArrow(merge, kind)
-    out = bytearray((1 << bits) // 8)
+        for once, twice in zip(group.column("once"), group.column("twice"), strict=True):
+            at = np.frombuffer(once.as_buffer(), np.uint32)
+            two[at[one[at]]] = True
+            one[at] = True
+            two[np.frombuffer(twice.as_buffer(), np.uint32)] = True
+        # A cell that one task counts twice is two, whatever the others counted.
+        return pa.table({"block": group.column("block").slice(0, 1), "bitmap": [np.packbits(two).tobytes()]})
+
+    out = bytearray(max(1, (1 << bits) // 8))
     each = size // 8
-    for row in level.select("block", "twice").collect():  # BLOCKS rows of a fixed size
-        out[row["block"] * each : (row["block"] + 1) * each] = row["twice"]
+    for row in cells_of.groupBy("block").applyInArrow(merge, "block int, bitmap binary").collect():  # blocks of a fixed size, one bitmap in all
+        out[row["block"] * each : (row["block"] + 1) * each] = row["bitmap"]
     return bytes(out)
 
 
-def partial_sketch(bits: int, pending: list[np.ndarray], salt: int) -> pa.RecordBatch:
+def partial_sketch(bits: int, pending: list[np.ndarray]) -> pa.RecordBatch:
     """Rows of one task's counts: the cells seen once and those seen more often, by block."""
-    size = (1 << bits) // BLOCKS
+    size = 1 << min(bits, BLOCK_LOG)
     found, counts = np.unique(np.concatenate(pending) if pending else np.zeros(0, np.int64), return_counts=True)
-    bounds = np.searchsorted(found, np.arange(BLOCKS + 1) * size)
+    block = found // size
+    cut = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(found) else np.zeros(0, np.int64)
     rows = []
-    for b in range(BLOCKS):
-        lo, hi = bounds[b], bounds[b + 1]
-        if hi > lo:
-            own = (found[lo:hi] - b * size).astype(np.uint32)
-            rows.append((b, salt, 0, own[counts[lo:hi] == 1].tobytes(), own[counts[lo:hi] > 1].tobytes()))
-    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], names=["block", "salt", "kind", "once", "twice"])
+    for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(found)], strict=False):
+        own = (found[lo:hi] - block[lo] * size).astype(np.uint32)
+        rows.append((int(block[lo]), own[counts[lo:hi] == 1].tobytes(), own[counts[lo:hi] > 1].tobytes()))
+    kinds = (pa.int32(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 3, kinds, strict=True)], names=["block", "once", "twice"])
 
 
 def bits_for(size: int, entries_per_byte: float) -> int:
@@ -93,10 +85,11 @@ def id_filter(ids: DataFrame, bits: int) -> Broadcast:
     """A bitmap of the cells of all long columns of ``ids``: no id is missed, others may slip through."""
     columns = ids.columns
 
+    @releasing
     def mark(batches) -> Iterator[pa.RecordBatch]:
         held = [cells(batch.column(c).to_numpy().astype(np.uint64), bits) for batch in batches for c in columns]
         if held:
-            yield partial_sketch(bits, [np.repeat(np.unique(np.concatenate(held)), 2)], int(held[0][0]) % 64 if len(held[0]) else 0)
+            yield partial_sketch(bits, [np.repeat(np.unique(np.concatenate(held)), 2)])
 
     return ids.sparkSession.sparkContext.broadcast(merged_sketch(ids.mapInArrow(mark, KIND), bits))
 
@@ -109,6 +102,7 @@ def filter_bits(n: int) -> int:
 def only(docs: DataFrame, ids: Broadcast, bits: int, present: bool = True) -> DataFrame:
     """The rows whose doc_id the filter has (or, for certain, has not). doc_id is a long and not null."""
 
+    @releasing
     def pick(batches) -> Iterator[pa.RecordBatch]:
         bitmap = np.frombuffer(ids.value, np.uint8)
         for batch in batches:
@@ -118,8 +112,54 @@ def only(docs: DataFrame, ids: Broadcast, bits: int, present: bool = True) -> Da
     return docs.mapInArrow(pick, docs.schema)
 
 
+#: Ids up to this many are broadcast as they are, about 32 MB; beyond, as a bitmap of 16 MB at most.
+FEW = 1_000_000
+
+
 def split_by_ids(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows that may be among ``ids``, rows that are not): only the first need a join, and so a shuffle."""
-    bits = filter_bits(ids.count())
-    found = id_filter(ids, bits)
-    return only(docs, found, bits), only(docs, found, bits, False)
+    """(rows that may be among the distinct ``ids`` (doc_id), rows that are not): only the first need a join, and so a shuffle."""
+    n = ids.count()
+    if n <= FEW:
+        return docs.join(F.broadcast(ids), "doc_id", "left_semi"), docs.join(F.broadcast(ids), "doc_id", "left_anti")
+    found = id_filter(ids, filter_bits(n))
+    return only(docs, found, filter_bits(n)), only(docs, found, filter_bits(n), False)
+
+
+def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id is among the distinct ``ids`` (doc_id), and perhaps a few others; ``ids`` should be a written table."""
+    n = ids.count()
+    if n <= FEW:
+        return docs.join(F.broadcast(ids), "doc_id", "left_semi")
+    return only(docs, id_filter(ids, filter_bits(n)), filter_bits(n))
+
+
+SPANS = "doc_id long, row long, spans binary"
+
+
+def packed_spans(ids: np.ndarray, rows: np.ndarray, spans: np.ndarray) -> pa.RecordBatch:
+    """One row for each (id, row) with all its spans, eight bytes each."""
+    order = np.lexsort((spans, rows, ids))
+    ids, rows, spans = ids[order], rows[order], spans[order]
+    new = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (rows[1:] != rows[:-1])]) if len(ids) else np.zeros(0, np.int64)
+    blobs = binary_column(np.ascontiguousarray(spans, "<i8").view(np.uint8), 8 * np.diff(np.r_[new, len(ids)]))
+    return pa.RecordBatch.from_arrays([pa.array(ids[new], pa.int64()), pa.array(rows[new], pa.int64()), blobs], names=["doc_id", "row", "spans"])
+
+
+def spans_in(cell: pa.ListScalar) -> np.ndarray:
+    """The spans of a row that ``with_spans`` has joined."""
+    return np.frombuffer(b"".join(cell.as_py()), "<i8")
+
+
+def row_of(text: str = "text"):
+    """A hash of the text, which tells rows that share a doc_id apart; equal rows are alike in all that follows."""
+    return F.xxhash64(text)
+
+
+def with_spans(docs: DataFrame, runs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a further column, and its name: the blobs of spans that ``runs`` (doc_id, row, spans) has for the row, or null."""
+    at, doc, row = (session.fresh(c, docs) for c in ("_spans", "_doc", "_row"))
+    spans = runs.groupBy("doc_id", "row").agg(F.collect_list("spans").alias(at)).withColumnsRenamed({"doc_id": doc, "row": row})
+    ids = session.kept_table(runs.select("doc_id").distinct())
+    some, others = split_by_ids(docs.where("doc_id is not null"), ids)
+    joined = some.join(spans, (F.col("doc_id") == F.col(doc)) & (row_of() == F.col(row)), "left").drop(doc, row)
+    return joined.unionByName(others.unionByName(docs.where("doc_id is null")).withColumn(at, F.lit(None).cast("array<binary>"))), at

@@ -25,8 +25,10 @@ broadcast.
 
 Edge cases: null, empty or short text has no window and keeps all words. Rows with
 a null doc_id have no place in the order: they are kept whole and match nothing.
-Rows that share a doc_id count as one document, so they don't remove each other.
-An empty table gives an empty result. Other columns pass through.
+Rows that share a doc_id don't remove each other, whatever their texts: each loses what
+a smaller doc_id has and what it repeats itself. Texts of any length are read whole, in
+chunks or, if longer, alone. An empty table gives an empty result. Other columns pass
+through, whatever their names, but for inputs named like an output, which it replaces.
 """
 
 from __future__ import annotations
@@ -41,11 +43,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import session
-from .arrowtext import binary_column, chunks, mix, rolling, sliding, text_buffers, word_hashes, word_spans
-from .sketches import cells, merged_sketch, partial_sketch, seen, sketch_bits, split_by_ids
+from .arrowtext import binary_column, chunks, mix, releasing, rolling, sliding, text_buffers, word_hashes, word_spans
+from .sketches import KIND, SPANS, cells, merged_sketch, packed_spans, partial_sketch, row_of, seen, sketch_bits, spans_in, with_spans
 
 #: Windows that a task holds before it settles and emits them.
-BUFFER = 1 << 20
+BUFFER = 1 << 18
 #: A run's length has 24 bits beside its place.
 LONGEST = (1 << 24) - 1
 _SECOND = 0xA24BAED4963EE407  # odd
@@ -90,77 +92,88 @@ def _runs(ids: np.ndarray, pos: np.ndarray, *same: np.ndarray) -> tuple[np.ndarr
     return at, np.diff(np.r_[at, len(ids)])
 
 
-def _first_of_each(h1: np.ndarray, h2: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, first): the order by hash, document and place, and which in it start their sequence first."""
-    order = np.lexsort((pos, ids, h2, h1))
-    h1, h2, ids, pos = h1[order], h2[order], ids[order], pos[order]
-    first = np.ones(len(h1), bool)
-    first[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-    lead = np.flatnonzero(first)[np.cumsum(first) - 1]
-    return order, (ids == ids[lead]) & (pos == pos[lead])
+def _first_of_each(h1: np.ndarray, h2: np.ndarray, ids: np.ndarray, rows: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, first): the order by hash, document, row and place, and which in it stay: their row's first start, no smaller document having one."""
+    order = np.lexsort((pos, rows, ids, h2, h1))
+    h1, h2, ids, rows, pos = h1[order], h2[order], ids[order], rows[order], pos[order]
+    new = np.ones(len(h1), bool)
+    new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+    own = new.copy()
+    own[1:] |= (ids[1:] != ids[:-1]) | (rows[1:] != rows[:-1])
+    lead, mine = (np.flatnonzero(x)[np.cumsum(x) - 1] for x in (new, own))
+    return order, (ids == ids[lead]) & (pos == pos[mine])
+
+
+def _in_place(ids: np.ndarray, rows: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """The order by document, row and place, each place once."""
+    order = np.lexsort((pos, rows, ids))
+    ids, rows, pos = ids[order], rows[order], pos[order]
+    return order[np.r_[True, (ids[1:] != ids[:-1]) | (rows[1:] != rows[:-1]) | (pos[1:] != pos[:-1])]] if len(order) else order
 
 
 def repeated_starts(docs: DataFrame, width: int = 20, max_bits: int = 30) -> DataFrame:
-    """(doc_id, span long): runs of words at which a repeated, not first, window starts.
+    """(doc_id, row, spans): runs of words at which a repeated, not first, window starts, by task and row.
 
-    ``span`` is the rank of the run's first word times 2**24, plus its length.
+    A span is the rank of the run's first word times 2**24, plus its length; ``row`` is
+    ``row_of`` the text, which tells rows of one doc_id apart.
     """
     spark = docs.sparkSession
-    texts = docs.where("doc_id is not null").select("doc_id", "text")
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), row_of().alias("row"), "text")
     bits, least_tasks = sketch_bits(texts, 1 / 33, max_bits)
     part = (width + 1) // 2
 
+    @releasing
     def count(batches) -> Iterator[pa.RecordBatch]:
-        pending, held, salt = [], 0, 0
+        pending, held = [], 0
         for batch in batches:
             for _, _, data, offsets in chunks(*text_buffers(batch.column("text"))):
                 rows, _, _, at, least, parts = _windows(data, offsets, width)
                 places = _minimiser_places(parts, least, at, width - part + 1)
                 pending.append(cells(parts[places], bits))
                 held += len(places)
-                salt = (salt * 31 + len(data)) % 64
-                if held > 4 * BUFFER:
-                    yield partial_sketch(bits, pending, salt)
+                if held > BUFFER:
+                    yield partial_sketch(bits, pending)
                     pending, held = [], 0
         if held:
-            yield partial_sketch(bits, pending, salt)
+            yield partial_sketch(bits, pending)
 
-    sketch = spark.sparkContext.broadcast(merged_sketch(texts.select("text").mapInArrow(count, "block int, salt int, kind int, once binary, twice binary"), bits))
+    sketch = spark.sparkContext.broadcast(merged_sketch(texts.select("text").mapInArrow(count, KIND), bits))
 
-    names = ["key", "doc_id", "span", "hashes"]
+    names = ["key", "doc_id", "row", "span", "hashes"]
 
-    def known(ids: np.ndarray, pos: np.ndarray) -> tuple[pa.Array, pa.Array]:
-        order = np.lexsort((pos, ids))
-        ids, pos = ids[order], pos[order]
-        at, lengths = _runs(ids, pos)
-        return pa.array(ids[at]), pa.array((pos[at] << 24) + lengths)
+    def known(ids: np.ndarray, rows: np.ndarray, pos: np.ndarray) -> tuple[pa.Array, ...]:
+        order = _in_place(ids, rows, pos)
+        ids, rows, pos = ids[order], rows[order], pos[order]
+        at, lengths = _runs(ids, pos, rows)
+        return pa.array(ids[at]), pa.array(rows[at]), pa.array((pos[at] << 24) + lengths)
 
     def settle(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         """Emit the buffer's first start of each sequence, in runs under one minimiser; flag the others here."""
-        h1, h2, ids, pos, least = (np.concatenate(x) for x in zip(*held, strict=True))
-        order, first = _first_of_each(h1, h2, ids, pos)
+        h1, h2, ids, rows, pos, least = (np.concatenate(x) for x in zip(*held, strict=True))
+        order, first = _first_of_each(h1, h2, ids, rows, pos)
         late, order = order[~first], order[first]
         if len(late):
-            own, spans = known(ids[late], pos[late])
-            yield pa.RecordBatch.from_arrays([pa.array(mix(own.to_numpy().astype(np.uint64)).view(np.int64)), own, spans, pa.nulls(len(own), pa.binary())], names=names)
-        order = order[np.lexsort((pos[order], ids[order]))]
-        ids, pos, least = ids[order], pos[order], least[order]
-        at, lengths = _runs(ids, pos, least)
+            own, row, spans = known(ids[late], rows[late], pos[late])
+            yield pa.RecordBatch.from_arrays([pa.array(mix(own.to_numpy().astype(np.uint64)).view(np.int64)), own, row, spans, pa.nulls(len(own), pa.binary())], names=names)
+        order = order[_in_place(ids[order], rows[order], pos[order])]
+        ids, rows, pos, least = ids[order], rows[order], pos[order], least[order]
+        at, lengths = _runs(ids, pos, rows, least)
         both = np.stack([h1[order], h2[order]], axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(mix(least[at]).view(np.int64)), pa.array(ids[at]), pa.array((pos[at] << 24) + lengths), binary_column(both.view(np.uint8), lengths * 16)], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(mix(least[at]).view(np.int64)), pa.array(ids[at]), pa.array(rows[at]), pa.array((pos[at] << 24) + lengths), binary_column(both.view(np.uint8), lengths * 16)], names=names)
 
+    @releasing
     def emit(batches) -> Iterator[pa.RecordBatch]:
         bitmap = np.frombuffer(sketch.value, np.uint8)
         held, n = [], 0
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            ids, rows_of = (batch.column(c).to_numpy() for c in ("doc_id", "row"))
             for lo, _, data, offsets in chunks(*text_buffers(batch.column("text"))):
                 rows, first, hashes, at, least, _ = _windows(data, offsets, width)
                 if len(at) == 0:
                     continue
                 at = at[seen(bitmap, cells(least[at], bits))]
                 if len(at):
-                    held.append((rolling(hashes, width)[at], rolling(hashes, width, _SECOND)[at], ids[lo + rows[at]], at - first[rows[at]], least[at]))
+                    held.append((rolling(hashes, width)[at], rolling(hashes, width, _SECOND)[at], ids[lo + rows[at]], rows_of[lo + rows[at]], at - first[rows[at]], least[at]))
                     n += len(at)
                 if n > BUFFER:
                     yield from settle(held)
@@ -168,12 +181,13 @@ def repeated_starts(docs: DataFrame, width: int = 20, max_bits: int = 30) -> Dat
         if held:
             yield from settle(held)
 
+    @releasing
     def find(batches) -> Iterator[pa.RecordBatch]:
         held = []
         for batch in batches:
             settled = batch.filter(pa.compute.is_null(batch.column("hashes")))
             if settled.num_rows:
-                yield pa.RecordBatch.from_arrays([settled.column("doc_id"), settled.column("span")], names=["doc_id", "span"])
+                yield packed_spans(*(settled.column(c).to_numpy() for c in ("doc_id", "row", "span")))
             rest = batch.filter(pa.compute.is_valid(batch.column("hashes")))
             if rest.num_rows:
                 raw, _ = text_buffers(rest.column("hashes"))
@@ -181,18 +195,18 @@ def repeated_starts(docs: DataFrame, width: int = 20, max_bits: int = 30) -> Dat
                 span = rest.column("span").to_numpy()
                 lengths = span & 0xFFFFFF
                 inner = np.arange(len(both)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-                held.append((both[:, 0], both[:, 1], np.repeat(rest.column("doc_id").to_numpy(), lengths), np.repeat(span >> 24, lengths) + inner))
+                held.append((both[:, 0], both[:, 1], *(np.repeat(rest.column(c).to_numpy(), lengths) for c in ("doc_id", "row")), np.repeat(span >> 24, lengths) + inner))
         if held:
-            h1, h2, ids, pos = (np.concatenate(x) for x in zip(*held, strict=True))
-            order, first = _first_of_each(h1, h2, ids, pos)
+            h1, h2, ids, rows, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+            order, first = _first_of_each(h1, h2, ids, rows, pos)
             late = order[~first]
             if len(late):
-                yield pa.RecordBatch.from_arrays([*known(ids[late], pos[late])], names=["doc_id", "span"])
+                yield packed_spans(*(x.to_numpy() for x in known(ids[late], rows[late], pos[late])))
 
-    emitted = texts.mapInArrow(emit, "key long, doc_id long, span long, hashes binary")
+    emitted = texts.mapInArrow(emit, "key long, doc_id long, row long, span long, hashes binary")
     # Sized so that a task holds a few million windows; the number follows the input.
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), least_tasks)
-    return emitted.repartition(parts, "key").mapInArrow(find, "doc_id long, span long")
+    return emitted.repartition(parts, "key").mapInArrow(find, SPANS)
 
 
 def dedup_words(docs: DataFrame, width: int = 20, max_bits: int = 30) -> DataFrame:
@@ -202,25 +216,22 @@ def dedup_words(docs: DataFrame, width: int = 20, max_bits: int = 30) -> DataFra
     words joined by one space; ``kept_sha256`` is always of the joined words.
     """
     starts = session.kept_table(repeated_starts(docs, width, max_bits))
-    spans = starts.groupBy("doc_id").agg(F.collect_list("span").alias("_spans")).withColumnRenamed("doc_id", "_doc")
-    known = docs.where("doc_id is not null")
-    some, others = split_by_ids(known, starts.select("doc_id").distinct())
-    joined = some.join(spans, some["doc_id"] == F.col("_doc"), "left").drop("_doc")
-    joined = joined.unionByName(others.unionByName(docs.where("doc_id is null")).withColumn("_spans", F.lit(None).cast("array<bigint>")))
+    joined, spans_at = with_spans(docs, starts)
     taken = {"n_words", "n_removed", "kept_sha256", "kept_text"}
     own = [c for c in docs.columns if c not in taken]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name not in taken] + ["n_words long, n_removed long, kept_sha256 string, kept_text string"])
 
+    @releasing
     def remove(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, spans = batch.column("text"), batch.column("_spans")
+            texts, spans = batch.column("text"), batch.column(spans_at)
             n_words, n_removed, digests, kept = [], [], [], []
             for text, runs in zip(texts, spans, strict=True):
                 text = text.as_py()
                 words = text.encode().split() if text else []
                 gone = 0
                 if runs.is_valid and len(words) >= width:
-                    run = np.array(runs.as_py(), np.int64)
+                    run = spans_in(runs)
                     at, end = run >> 24, (run >> 24) + (run & 0xFFFFFF) + width - 1
                     edge = np.zeros(len(words) + 1, np.int64)
                     np.add.at(edge, np.minimum(at, len(words)), 1)
@@ -237,7 +248,7 @@ def dedup_words(docs: DataFrame, width: int = 20, max_bits: int = 30) -> DataFra
                 kept.append(joined_words.decode() if gone else text)
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in own] + [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.string())], names=[*own, "n_words", "n_removed", "kept_sha256", "kept_text"])
 
-    return joined.select(*own, "_spans").mapInArrow(remove, schema)
+    return joined.select(*own, spans_at).mapInArrow(remove, schema)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
