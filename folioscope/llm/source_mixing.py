@@ -10,7 +10,10 @@ Which documents: a hash orders each source's documents and deals them into
 and, for the rest of its target, the leading blocks, the leading documents of the
 block in which the target falls, and from the next few hundred documents those that
 fill the remaining gap, largest first. So prefix sums run over blocks, and over
-documents only inside the one block where the target falls.
+documents only inside the one block where the target falls. A source of at most
+``SMALL`` documents takes instead the subset, first and second copies counted, whose
+sum comes nearest its target; sums a thousandth of the target apart or less are held
+as one while they are built up.
 
 Where they go: a multivariate hypergeometric splitting tree. The root holds each
 source's exact quota of taken blocks; each node draws, source by source, how many of
@@ -23,7 +26,8 @@ shuffle. All noise is hashed from the seed: reruns agree.
 Edge cases: null text has size 0 and is never taken short of a whole pass (its taken
 words are 0 anyway); a null source is a source of its own; rows with equal doc_id
 share their fate; null doc_id hashes like any other value. Empty tables give empty
-results. Other columns pass through.
+results. Texts of any length are counted whole. Other columns pass through, whatever
+their names, but for inputs named like an output, which it replaces.
 """
 
 from __future__ import annotations
@@ -40,6 +44,8 @@ BLOCKS_LOG = 10
 BLOCKS = 1 << BLOCKS_LOG
 #: Documents after the boundary that may fill the gap to the target.
 FILL = 256
+#: Sources of so many documents at most take their nearest subset; two bits a document in a long.
+SMALL = 31
 
 
 def word_count(text: Column) -> Column:
@@ -119,6 +125,33 @@ def sized(docs: DataFrame, seed: int = 17) -> DataFrame:
     return session.kept_table(keyed(docs.select("doc_id", "source", "text"), seed).drop("text"))
 
 
+def nearest_subsets(d: DataFrame, src: DataFrame) -> DataFrame:
+    """(source, picks, twice): for each source in ``src`` (few documents), the hashes of those taken and of those taken twice."""
+    mine = src.select(F.col("source").alias("_source"), "target")
+    rows = d.join(F.broadcast(mine), d["source"].eqNullSafe(F.col("_source"))).where("size > 0")  # a row for each source
+    rows = rows.groupBy("source", "_h").agg(F.sum("size").alias("size"), F.first("target").alias("target"))
+    own = rows.groupBy("source").agg(F.first("target").alias("target"), F.sort_array(F.collect_list(F.struct("size", "_h")), asc=False).alias("docs"))
+    step = F.greatest(F.lit(1.0), F.col("target") / 1000)
+    state = lambda total, mask: F.struct(total.alias("sum"), mask.alias("mask"))
+
+    def grow(sums: Column, x: Column) -> Column:
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), 2 * x["i"])
+        taken = lambda k: F.transform(sums, lambda s: state(s["sum"] + k * x["size"], s["mask"] + k * bit))
+        more = F.concat(sums, taken(1), taken(2))
+        near = F.array_sort(F.filter(more, lambda s: s["sum"] <= F.col("target") + 20 * step))
+        # An array of one, so that the sums are sorted once.
+        thin = lambda a: F.filter(a, lambda s, i: (i == 0) | (F.floor(s["sum"] / step) != F.floor(F.get(a, i - 1)["sum"] / step)))
+        return F.element_at(F.transform(F.array(near), thin), 1)
+
+    start = F.array(state(F.lit(0).cast("long"), F.lit(0).cast("long")))
+    sums = F.aggregate(F.transform("docs", lambda x, i: F.struct(x["size"].alias("size"), i.alias("i"))), start, grow)
+    best = F.array_min(F.transform(sums, lambda s: F.struct(F.abs(s["sum"] - F.col("target")).alias("off"), s["mask"].alias("mask"))))
+    own = own.withColumn("mask", best["mask"])
+    times = lambda i: F.call_function("shiftrightunsigned", F.col("mask"), 2 * i).bitwiseAND(F.lit(3).cast("long"))
+    of = lambda least: F.transform(F.filter("docs", lambda x, i: times(i) >= least), lambda x: x["_h"])
+    return own.select(F.col("source").alias("_source3"), of(1).alias("picks_of_few"), of(2).alias("twice"))
+
+
 def mix_plan(d: DataFrame, weights: tuple[float, ...] = WEIGHTS, boost: float = 1.5, most: int = 2, levels: int = 4, seed: int = 17) -> DataFrame:
     """From ``sized`` rows, one row for each source: size, target, base passes, what else it takes, and the shard of each taken block.
 
@@ -127,10 +160,11 @@ def mix_plan(d: DataFrame, weights: tuple[float, ...] = WEIGHTS, boost: float =
     """
     d = d.select("source", "size", "_h", "_b")
     blocks = session.kept(d.groupBy("source", "_b").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")))
-    src = targets(blocks.groupBy("source").agg(F.sum("size").alias("source_size")), weights, boost, most)
+    counts = blocks.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum("n").alias("n_docs"))
+    src = targets(counts.drop("n_docs"), weights, boost, most).join(counts.select(F.col("source").alias("_s"), (F.col("n_docs") <= SMALL).alias("few")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     size = F.col("source_size")
-    src = src.withColumn("base", F.least(F.lit(most), F.when(size > 0, F.floor(F.col("target") / size)).otherwise(0)).cast("int"))
-    src = src.withColumn("rest", F.when(F.col("base") < most, F.greatest(F.lit(0.0), F.col("target") - F.col("base") * size)).otherwise(0.0))
+    src = src.withColumn("base", F.when(F.col("few"), 0).otherwise(F.least(F.lit(most), F.when(size > 0, F.floor(F.col("target") / size)).otherwise(0))).cast("int"))
+    src = src.withColumn("rest", F.when(~F.col("few") & (F.col("base") < most), F.greatest(F.lit(0.0), F.col("target") - F.col("base") * size)).otherwise(0.0))
     src = session.kept(src)
 
     mine = src.select(F.col("source").alias("_source"), "rest")
@@ -166,9 +200,12 @@ def mix_plan(d: DataFrame, weights: tuple[float, ...] = WEIGHTS, boost: float =
     edges = b.groupBy("source").agg(F.sort_array(F.collect_list("_b")).alias("own"), F.first("edge.b").alias("edge_b")).withColumnRenamed("source", "_source2")
     plan = src.join(found, src["source"].eqNullSafe(F.col("_source")), "left").drop("_source")
     plan = plan.join(edges, plan["source"].eqNullSafe(F.col("_source2")), "left").drop("_source2")
+    plan = plan.join(nearest_subsets(d, src.where("few")), plan["source"].eqNullSafe(F.col("_source3")), "left").drop("_source3")
+    plan = plan.withColumns({"picks": F.coalesce("picks_of_few", "picks"), "twice": F.coalesce("twice", F.array().cast("array<bigint>"))}).drop("picks_of_few", "few")
     plan = plan.withColumns({"upto": F.coalesce("upto", F.when((F.col("rest") > 0) & (F.col("edge_b") > 0), F.shiftleft(F.col("edge_b").cast("long"), 63 - BLOCKS_LOG) - 1), F.lit(-1).cast("long")), "picks": F.coalesce("picks", F.array().cast("array<bigint>"))})
-    extra = F.array_distinct(F.concat(F.filter("own", lambda x: x <= F.shiftright("upto", 63 - BLOCKS_LOG)), F.transform("picks", lambda x: F.shiftright(x, 63 - BLOCKS_LOG).cast("int"))))
-    passes = [F.when(F.col("base") > p, F.col("own")).when(F.col("base") == p, extra).otherwise(F.array().cast("array<int>")) for p in range(most)]
+    block_of = lambda hashes: F.transform(hashes, lambda x: F.shiftright(x, 63 - BLOCKS_LOG).cast("int"))
+    extra = F.array_distinct(F.concat(F.filter("own", lambda x: x <= F.shiftright("upto", 63 - BLOCKS_LOG)), block_of("picks")))
+    passes = [F.when(F.col("base") > p, F.col("own")).when(F.col("base") == p, extra).otherwise(F.array_distinct(block_of("twice")) if p == 1 else F.array().cast("array<int>")) for p in range(most)]
     plan = plan.withColumn("taken_blocks", F.flatten(F.array(*(_shifted(x, p * BLOCKS) for p, x in enumerate(passes)))))
     plan = session.kept(plan.drop("own", "edge_b"))
 
@@ -187,15 +224,15 @@ def assigned(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """Rows with size, _h and _b get source_size, target, copies, taken and the shard of each copy."""
     df = session.join_small(rows, plan.drop("rank", "weight", "rest"), "source", "_h", most=2000)
     more = (F.col("_h") <= F.col("upto")) | F.array_contains("picks", F.col("_h"))
-    df = df.withColumn("copies", F.col("base") + more.cast("int"))
+    df = df.withColumn("copies", F.col("base") + more.cast("int") + F.array_contains("twice", F.col("_h")).cast("int"))
     shards = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda p: F.get(F.col("shard_of"), p * BLOCKS + F.col("_b")))).otherwise(F.array().cast("array<int>"))
-    return df.withColumns({"taken": F.col("copies") * F.col("size"), "shards": shards}).drop("_b", "base", "upto", "picks", "shard_of")
+    return df.withColumns({"taken": F.col("copies") * F.col("size"), "shards": shards}).drop("_b", "base", "upto", "picks", "twice", "shard_of")
 
 
 def mixed(docs: DataFrame, levels: int = 4, seed: int = 17, **options) -> DataFrame:
     """Every row and column of ``docs``, with what ``assigned`` adds."""
     plan = mix_plan(sized(docs, seed), levels=levels, seed=seed, **options)
-    clash = {"size", "source_size", "target", "copies", "taken", "shards", "base", "upto", "picks", "shard_of"}
+    clash = {"size", "source_size", "target", "copies", "taken", "shards", "base", "upto", "picks", "twice", "shard_of"}
     return assigned(keyed(docs.drop(*(c for c in docs.columns if c in clash)), seed), plan)
 
 
