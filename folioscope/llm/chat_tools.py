@@ -61,15 +61,20 @@ def levels(calls: DataFrame) -> DataFrame:
     A chain has fewer steps than there are calls, so pointers that are left after the
     logarithm of their number in rounds run around on a cycle.
     """
-    known = calls.select(F.col("call_id").alias("k"))
-    at = calls.join(known, F.col("needs") == F.col("k"), "left").select("call_id", F.col("k").alias("up"), F.when(F.col("k").isNotNull(), 1).otherwise(0).cast("long").alias("level"))
-    at = session.kept(at)
+    ids = calls.select(F.col("call_id").alias("k")).hint("shuffle_hash")
+    end, zero = F.lit(None).cast("string").alias("up"), F.lit(0).cast("long").alias("level")
+    # Rows without a pointer never enter a join, where they would all meet under null.
+    linked = calls.where("needs is not null").join(ids, F.col("needs") == F.col("k"), "left").select("call_id", F.col("k").alias("up"), F.when(F.col("k").isNotNull(), 1).otherwise(0).cast("long").alias("level"))
+    at = session.kept_table(linked.unionByName(calls.where("needs is null").select("call_id", end, zero)))
     for _ in range(at.count().bit_length()):
-        if at.where("up is not null").isEmpty():
+        open_ = at.where("up is not null")
+        if open_.isEmpty():
             break
-        above = at.select(F.col("call_id").alias("k"), F.col("up").alias("up2"), F.col("level").alias("more"))
-        moved = at.join(above, F.col("up") == F.col("k"), "left")
-        at = session.kept(moved.select("call_id", F.col("up2").alias("up"), (F.col("level") + F.coalesce("more", F.lit(0).cast("long"))).alias("level")))
+        above = at.select(F.col("call_id").alias("k"), F.col("up").alias("up2"), F.col("level").alias("more")).hint("shuffle_hash")
+        moved = open_.join(above, F.col("up") == F.col("k")).select("call_id", F.col("up2").alias("up"), (F.col("level") + F.col("more")).alias("level"))
+        after = session.kept_table(moved.unionByName(at.where("up is null")))
+        session.drop(at)
+        at = after
     return at.select("call_id", F.when(F.col("up").isNull(), F.col("level")).alias("level"))
 
 
@@ -80,7 +85,7 @@ def linked(calls: DataFrame, results: DataFrame, schemas=CHAT_SCHEMAS) -> DataFr
     """
     calls = calls.where("call_id is not null").groupBy("call_id").agg(F.min(F.struct("name", "arguments", "needs")).alias("c")).select("call_id", "c.*")
     results = results.where("call_id is not null").groupBy("call_id").agg(F.min("content").alias("result"))
-    df = validated(calls, schemas).join(results, "call_id", "left").join(levels(calls), "call_id")
+    df = validated(calls, schemas).join(results.hint("shuffle_hash"), "call_id", "left").join(levels(calls).hint("shuffle_hash"), "call_id")
     df = df.withColumn("valid", F.size("errors") == 0)
     line = F.struct(F.try_parse_json("arguments").alias("arguments"), F.col("call_id"), F.col("errors"), F.col("level"), F.col("name"), F.col("needs"), F.col("result"), F.col("valid"))
     return df.withColumn("canonical", F.to_json(line, {"ignoreNullFields": "false"}))
@@ -93,8 +98,9 @@ def calls_of_conversations(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     key = lambda turn: F.concat(F.col("conv_id").cast("string"), F.lit(":"), turn.cast("string"))
     arguments = F.when(F.col("role") == "system", F.to_json(F.struct("text"))).otherwise(F.to_json(F.struct("text", "turn")))
+    turns = turns.where("conv_id is not null and turn is not null")
     calls = turns.where("role in ('user', 'system')").select(key(F.col("turn")).alias("call_id"), F.col("role").alias("name"), arguments.alias("arguments"), key(F.col("turn") - 1).alias("one"), key(F.col("turn") - 2).alias("two"))
-    ids = calls.select(F.col("call_id").alias("k")).where("k is not null").distinct()
+    ids = calls.select(F.col("call_id").alias("k")).distinct().hint("shuffle_hash")
     calls = calls.join(ids, F.col("one") == F.col("k"), "left").withColumn("one", F.col("k")).drop("k").join(ids, F.col("two") == F.col("k"), "left")
     calls = calls.select("call_id", "name", "arguments", F.coalesce("one", "k").alias("needs"))
     return calls, turns.where("role = 'assistant'").select(key(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
