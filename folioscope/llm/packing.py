@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from . import session
-from .arrowtext import text_buffers
+from .arrowtext import releasing, text_buffers
 
 CAPACITY = 2048
 END = 0
@@ -148,10 +148,11 @@ def _slices(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(int(counts.sum())) + np.repeat(starts - first, counts)
 
 
-def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False, added: bool = False) -> DataFrame:
+def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False, added: bool = True) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of every document."""
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
 
+    @releasing
     def cut(batches) -> Iterator[pa.RecordBatch]:
         if (tokenizer, added) not in _LOADED:
             _LOADED[tokenizer, added] = Pieces(tokenizer, added)
@@ -324,6 +325,7 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     ranked = ranked.join(first, (F.col("length") == F.col("_l")) & (F.col("_salt") == F.col("_s"))).withColumn("_rank", F.col("_rank") + F.col("_first")).drop("_l", "_s", "_first", "_salt")
     names = pieces.columns
 
+    @releasing
     def place(batches) -> Iterator[pa.RecordBatch]:
         keys, sequences, offsets = slots.value
         for batch in batches:
@@ -340,9 +342,9 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False, added: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False, added: bool = True) -> DataFrame:
     return packed(session.kept(pieces_of(docs, tokenizer or default_tokenizer(), capacity, with_ids, added)), capacity)
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(session.documents(spark, sf_dir), added=True)
+    return pack_documents(session.documents(spark, sf_dir))
