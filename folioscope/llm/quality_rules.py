@@ -118,14 +118,14 @@ def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, .
 
 
 def passing(docs: DataFrame) -> DataFrame:
-    """The rows that pass, as they came.
+    """The rows that pass, as they came, whatever the names of their columns.
 
-    A filter on ``kept`` alone would be pushed below the projections, and each count
-    written out there wherever it is used, down to a sort of all windows for every
-    window. It isn't pushed past a row number that it also refers to.
+    The verdict picks the row or nothing before any filter, so that no condition on the
+    counts is pushed below the projections and written out there anew for each use.
     """
-    rows = judged(docs).withColumn("_row", F.monotonically_increasing_id())
-    return rows.where("kept and _row >= 0").select(*docs.columns)
+    held = docs.select(F.struct("*").alias("_all"), "text")
+    rows = judged(held).select(F.explode_outer(F.when(F.col("kept"), F.array("_all"))).alias("_all"))
+    return rows.where("_all is not null").select(*(F.col("_all").getField(c).alias(c) for c in docs.columns))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
