@@ -1,5 +1,7 @@
 """op1, op2 and op5 against plain versions, and their edge cases."""
 
+import random
+
 import brute
 import numpy as np
 import pytest
@@ -89,6 +91,43 @@ def test_clashing_columns_and_repeated_and_null_ids(spark):
     assert got == [(0, 36, 0), (1, 36, 1), (1, 36, 1), (2, 0, 2), (2, 36, 1)]
 
 
+def test_different_texts_under_one_id(spark):
+    """What one row of an id loses, another row of it keeps."""
+    text, own = (" ".join(f"{w}{k}" for k in range(40)) for w in "tu")
+    docs = frame(spark, [(1, text), (2, text), (2, own), (2, own), (3, own + " " + own)]).withColumns({c: F.lit("mine") for c in ("_doc", "_spans", "_row", "row", "key", "_key")})
+    for made, n, m in ((suffix_dedup.dedup_bytes(docs), len(text), 2 * len(own) + 1), (substring_dedup.dedup_words(docs), 40, 80)):
+        got = sorted((r["doc_id"], r["n_removed"]) for r in made.collect())
+        lost = m if n == 40 else 2 * len(own)
+        assert got == [(1, 0), (2, 0), (2, 0), (2, n), (3, lost)]
+        assert all(r["_doc"] == r["_spans"] == r["_row"] == "mine" for r in made.select("_doc", "_spans", "_row").collect())
+    got = sorted((r["doc_id"], r["component_id"]) for r in jaccard_join.near_duplicates(docs).collect())
+    assert got == [(1, 1), (2, 1), (2, 1), (2, 1), (3, 1)]
+
+
+def test_a_text_longer_than_a_chunk(spark):
+    """A text of over 1 MiB is read whole: its end repeats in a later document."""
+    long = " ".join(f"w{k}" for k in range(190_000))
+    rows = [(1, long), (2, "own words here " + long[-5000:]), (3, long)]
+    assert len(long) > 1 << 20
+    assert ids_of(suffix_dedup.dedup_bytes(frame(spark, rows)), "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.byte_dedup(rows)
+    assert ids_of(substring_dedup.dedup_words(frame(spark, rows)), "n_words", "n_removed", "kept_sha256") == brute.word_dedup(rows)
+    assert ids_of(jaccard_join.near_duplicates(frame(spark, rows)), "n_shingles", "component_id") == brute.jaccard_components(rows)
+
+
+def test_a_large_group_of_near_copies(spark, monkeypatch):
+    """Tiles are dealt into blocks, and rounds of meetings end before all links are found."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_ROWS", 16)
+    r = random.Random(5)
+    base = [f"b{k}" for k in range(120)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for j in r.sample(range(120), r.randint(1, 9)):
+            words[j] = f"n{i}x{j}"
+        rows.append((i, " ".join(words)))
+    assert ids_of(jaccard_join.near_duplicates(frame(spark, rows)), "n_shingles", "component_id") == brute.jaccard_components(rows)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text("ab", min_size=0, max_size=60), min_size=1, max_size=8), st.integers(1, 5))
 def test_merged_transforms_find_repeats(texts, shards):

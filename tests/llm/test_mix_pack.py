@@ -30,7 +30,7 @@ def check_mix(rows):
         assert abs(taken[source] - target) <= 0.01 * target + 1, source
 
 
-@pytest.mark.parametrize("sf_dir", ["/root/testdata/sf0.01", pytest.param("/root/testdata/sf0.001", marks=pytest.mark.xfail(reason="sources of ten documents miss their targets by up to 30 %"))])
+@pytest.mark.parametrize("sf_dir", ["/root/testdata/sf0.01", "/root/testdata/sf0.001"])
 def test_mix_query(spark, sf_dir):
     some_rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     df = queries.queries()["op3_source_mixing"](spark, sf_dir)
@@ -80,7 +80,6 @@ def test_copies_fill_disjoint_shards(odd, tmp_path):
 
 def tokens(texts):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
