@@ -15,16 +15,18 @@ a smaller doc_id. Strings are judged on the input and never cross documents.
    interleave refinement: an array that names the shard of each suffix is refined by
    stable passes over the transforms, each of which orders it by two bytes more. No
    suffix is compared or sorted again. Where a pass first separates neighbours is
-   their common prefix; the blocks left after ``width`` bytes are the repeated
-   intervals, and the least doc_id of a block tells which of its windows go.
+   their common prefix; the blocks left after ``width`` bytes, of common prefixes of
+   ``width`` throughout, are the repeated intervals, and the least doc_id of a block tells which of its windows go.
 4. Flagged windows go to their documents in runs.
 
 Stride and depth: transforms hold the two preceding bytes, so ``width`` / 2 passes
 suffice. Strings end in byte 0xFF, which UTF-8 never has.
 
 Edge cases: null, empty and short texts lose nothing; rows with a null doc_id are kept
-whole and match nothing; rows that share a doc_id count as one document. An empty
-table gives an empty result. Other columns pass through.
+whole and match nothing; rows that share a doc_id don't remove each other, each loses
+what a smaller doc_id has. Texts of any length are read whole. An empty table gives an
+empty result. Other columns pass through, whatever their names, but for inputs named
+like an output, which it replaces.
 """
 
 from __future__ import annotations
@@ -38,15 +40,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import session
-from .arrowtext import chunks, gather, inverse, mix, powers, rolling, sliding, text_buffers
-from .sketches import KIND, cells, merged_sketch, partial_sketch, seen, sketch_bits, split_by_ids
+from .arrowtext import chunks, gather, inverse, mix, powers, releasing, rolling, sliding, text_buffers
+from .sketches import KIND, SPANS, cells, merged_sketch, packed_spans, partial_sketch, row_of, seen, sketch_bits, spans_in, with_spans
 
 WIDTH = 50
 #: Bytes of the sub-windows that minimisers are taken from.
 PART = 20
-BUFFER = 1 << 17
+BUFFER = 1 << 16
 #: Bytes of strings that merge at once, and the shards they are dealt into.
-BATCH = 1 << 20
+BATCH = 1 << 19
 SHARDS = 4
 END = 0xFF
 _BYTE = np.random.Generator(np.random.PCG64(50)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -142,11 +144,13 @@ def repeated_in(strings: np.ndarray, lengths: np.ndarray, owners: np.ndarray, wi
         order, transform = shard_transform(text[lo:hi], begin[lo:hi] - lo, whole[lo:hi], width)
         orders.append(order + lo)
         transforms.append(transform)
-    shard, block, _ = merged_transforms(transforms, width)
+    shard, block, common = merged_transforms(transforms, width)
     place = np.empty(len(text), np.int64)
     for s, order in enumerate(orders):
         place[shard == s] = order
     full = place - begin[place] + width < whole[place]
+    # A repeated interval goes on where the common prefix with the suffix before is a whole window.
+    block = np.cumsum(common < width)
     place, block = place[full], block[full]
     flags = np.zeros(len(text), bool)
     if len(place):
@@ -156,11 +160,11 @@ def repeated_in(strings: np.ndarray, lengths: np.ndarray, owners: np.ndarray, wi
     return flags[to]
 
 
-def _spans(ids: np.ndarray, pos: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Rows (doc_id, start << 24 | length), runs over 2**24 cut."""
+def _spans(ids: np.ndarray, rows: np.ndarray, pos: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Rows (doc_id, row, start << 24 | length), runs over 2**24 cut."""
     while (over := lengths >= 1 << 24).any():
-        ids, pos, lengths = np.r_[ids, ids[over]], np.r_[pos, pos[over] + (1 << 23)], np.r_[np.where(over, 1 << 23, lengths), lengths[over] - (1 << 23)]
-    return np.stack([ids, pos << 24 | lengths], axis=1)
+        ids, rows, pos, lengths = np.r_[ids, ids[over]], np.r_[rows, rows[over]], np.r_[pos, pos[over] + (1 << 23)], np.r_[np.where(over, 1 << 23, lengths), lengths[over] - (1 << 23)]
+    return np.stack([ids, rows, pos << 24 | lengths], axis=1)
 
 
 def _lead(h1: np.ndarray, h2: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -173,16 +177,17 @@ def _lead(h1: np.ndarray, h2: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray,
 
 
 def repeated_runs(docs: DataFrame, width: int = WIDTH, max_bits: int = 30) -> DataFrame:
-    """(doc_id, span long): runs of bytes at which a window starts that an earlier document also has."""
+    """(doc_id, row, spans): runs of bytes at which a window starts that an earlier document also has, by task and row."""
     if width % 2 or width < PART + 1:
         raise ValueError("width must be even and longer than the minimiser's part")
     spark = docs.sparkSession
-    texts = docs.where("doc_id is not null").select("doc_id", "text")
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), row_of().alias("row"), "text")
     bits, least_tasks = sketch_bits(texts, 2 / (width - PART + 2), max_bits)
     reach = width - PART + 1
 
+    @releasing
     def count(batches) -> Iterator[pa.RecordBatch]:
-        pending, held, salt = [], 0, 0
+        pending, held = [], 0
         for batch in batches:
             for _, _, data, offsets in chunks(*text_buffers(batch.column("text"))):
                 parts, least, at = _windows(data, offsets, width)
@@ -194,12 +199,11 @@ def repeated_runs(docs: DataFrame, width: int = WIDTH, max_bits: int = 30) -> Da
                 places = np.flatnonzero((sliding(np.concatenate([pad, top, pad]), reach, np.maximum)[: len(parts)] == parts) & (parts > 0))
                 pending.append(cells(parts[places], bits))
                 held += len(places)
-                salt = (salt * 31 + len(data)) % 64
-                if held > 1 << 22:
-                    yield partial_sketch(bits, pending, salt)
+                if held > 1 << 19:
+                    yield partial_sketch(bits, pending)
                     pending, held = [], 0
         if held:
-            yield partial_sketch(bits, pending, salt)
+            yield partial_sketch(bits, pending)
 
     sketch = spark.sparkContext.broadcast(merged_sketch(texts.select("text").mapInArrow(count, KIND), bits))
     names = ["bucket", "kind", "meta", "body"]
@@ -217,12 +221,12 @@ def repeated_runs(docs: DataFrame, width: int = WIDTH, max_bits: int = 30) -> Da
             yield pa.RecordBatch.from_arrays([pa.array(bucket[cut], pa.int32()), pa.array([kind] * len(cut), pa.int32()), pa.array([raw[a:b].tobytes() for a, b in zip(cut, ends, strict=True)]), pa.array([text[bytes_to[a] : bytes_to[b]].tobytes() for a, b in zip(cut, ends, strict=True)])], names=names)
 
     def settle(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        least, ids, pos, lengths, h1, h2 = (np.concatenate(x) for x in list(zip(*held, strict=True))[:6])
-        text = np.concatenate([x[6] for x in held])
+        least, ids, rows, pos, lengths, h1, h2 = (np.concatenate(x) for x in list(zip(*held, strict=True))[:7])
+        text = np.concatenate([x[7] for x in held])
         order, group, lead = _lead(h1, h2, ids)
         late = ids[order] > lead[group]
         gone, rest = order[late], order[~late]
-        spans = _spans(ids[gone], pos[gone], lengths[gone] - width + 1)
+        spans = _spans(ids[gone], rows[gone], pos[gone], lengths[gone] - width + 1)
         to = (mix(spans[:, 0].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
         by = np.argsort(to, kind="stable")
         yield from packed(to[by], 1, spans[by], text[:0], np.zeros(len(by), np.int64))
@@ -230,13 +234,14 @@ def repeated_runs(docs: DataFrame, width: int = WIDTH, max_bits: int = 30) -> Da
         to = (mix(least[rest] + np.uint64(77)) % np.uint64(buckets)).astype(np.int64)
         rest = rest[np.lexsort((pos[rest], ids[rest], to))]
         to = (mix(least[rest] + np.uint64(77)) % np.uint64(buckets)).astype(np.int64)
-        yield from packed(to, 0, np.stack([least[rest].view(np.int64), ids[rest], pos[rest], lengths[rest]], axis=1), gather(text, first[rest], lengths[rest]), lengths[rest])
+        yield from packed(to, 0, np.stack([least[rest].view(np.int64), ids[rest], rows[rest], pos[rest], lengths[rest]], axis=1), gather(text, first[rest], lengths[rest]), lengths[rest])
 
+    @releasing
     def emit(batches) -> Iterator[pa.RecordBatch]:
         bitmap = np.frombuffer(sketch.value, np.uint8)
         held, n = [], 0
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            ids, rows_of = (batch.column(c).to_numpy() for c in ("doc_id", "row"))
             for lo, _, data, offsets in chunks(*text_buffers(batch.column("text"))):
                 _, least, at = _windows(data, offsets, width)
                 at = at[seen(bitmap, cells(least[at], bits))]
@@ -247,7 +252,7 @@ def repeated_runs(docs: DataFrame, width: int = WIDTH, max_bits: int = 30) -> Da
                 cut = np.flatnonzero(np.r_[True, (at[1:] != at[:-1] + 1) | (own[1:] != own[:-1]) | (rows[1:] != rows[:-1])])
                 starts, lengths, rows = at[cut], np.diff(np.r_[cut, len(at)]) + width - 1, rows[cut]
                 h1, h2 = _string_hashes(data, starts, lengths)
-                held.append((own[cut], ids[lo + rows], starts - offsets[rows], lengths, h1, h2, gather(data, starts, lengths)))
+                held.append((own[cut], ids[lo + rows], rows_of[lo + rows], starts - offsets[rows], lengths, h1, h2, gather(data, starts, lengths)))
                 n += len(starts)
                 if n > BUFFER:
                     yield from settle(held)
@@ -255,29 +260,38 @@ def repeated_runs(docs: DataFrame, width: int = WIDTH, max_bits: int = 30) -> Da
         if held:
             yield from settle(held)
 
+    @releasing
     def merge(batches) -> Iterator[pa.RecordBatch]:
-        metas, bodies = [], []
+        metas, bodies, spans, n = [], [], [], 0
         for batch in batches:
             for kind, meta, body in zip(batch.column("kind").to_pylist(), batch.column("meta"), batch.column("body"), strict=True):
                 rows = np.frombuffer(meta.as_py(), "<i8")
                 if kind:
-                    rows = rows.reshape(-1, 2)
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], names=["doc_id", "span"])
+                    spans.append(rows.reshape(-1, 3))
+                    n += len(spans[-1])
                 else:
-                    metas.append(rows.reshape(-1, 4))
+                    metas.append(rows.reshape(-1, 5))
                     bodies.append(np.frombuffer(body.as_py(), np.uint8))
+                if n > 1 << 20:
+                    yield packed_spans(*np.concatenate(spans).T)
+                    spans, n = [], 0
         if metas:
-            for spans in flagged(np.concatenate(metas), np.concatenate(bodies), width):
-                if len(spans):
-                    yield pa.RecordBatch.from_arrays([pa.array(spans[:, 0]), pa.array(spans[:, 1])], names=["doc_id", "span"])
+            for found in flagged(np.concatenate(metas), np.concatenate(bodies), width):
+                spans.append(found)
+                n += len(found)
+                if n > 1 << 20:
+                    yield packed_spans(*np.concatenate(spans).T)
+                    spans, n = [], 0
+        if n:
+            yield packed_spans(*np.concatenate(spans).T)
 
     emitted = texts.mapInArrow(emit, "bucket int, kind int, meta binary, body binary")
-    return emitted.repartition(tasks, "bucket").mapInArrow(merge, "doc_id long, span long")
+    return emitted.repartition(tasks, "bucket").mapInArrow(merge, SPANS)
 
 
 def flagged(meta: np.ndarray, text: np.ndarray, width: int) -> Iterator[np.ndarray]:
-    """Spans of the windows to remove, from rows (minimiser, doc_id, start, length) and their strings."""
-    least, ids, pos, lengths = meta.T
+    """Spans of the windows to remove, from rows (minimiser, doc_id, row, start, length) and their strings."""
+    least, ids, rows, pos, lengths = meta.T
     first = np.cumsum(lengths) - lengths
     h1, h2 = np.zeros(len(ids), np.uint64), np.zeros(len(ids), np.uint64)
     for lo, hi in _batches(lengths, 4 * BATCH):
@@ -286,7 +300,7 @@ def flagged(meta: np.ndarray, text: np.ndarray, width: int) -> Iterator[np.ndarr
     order, group, lead = _lead(h1, h2, ids)
     late = ids[order] > lead[group]
     gone, kept, group = order[late], order[~late], group[~late]
-    yield _spans(ids[gone], pos[gone], lengths[gone] - width + 1)
+    yield _spans(ids[gone], rows[gone], pos[gone], lengths[gone] - width + 1)
     # One string for each group, beside the others that share its minimiser.
     one = kept[np.r_[True, group[1:] != group[:-1]]]
     by = np.argsort(least[one], kind="stable")
@@ -317,8 +331,8 @@ def flagged(meta: np.ndarray, text: np.ndarray, width: int) -> Iterator[np.ndarr
         string, inner = string[new], inner[new]
         g = chosen[lo:hi][mixed][string]
         times = member_first[g + 1] - member_first[g]
-        rows = kept[members[np.repeat(member_first[g] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))]]
-        yield _spans(ids[rows], pos[rows] + np.repeat(inner, times), np.repeat(run, times))
+        those = kept[members[np.repeat(member_first[g] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))]]
+        yield _spans(ids[those], rows[those], pos[those] + np.repeat(inner, times), np.repeat(run, times))
 
 
 def _batches(lengths: np.ndarray, limit: int, together: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
@@ -336,25 +350,23 @@ def _batches(lengths: np.ndarray, limit: int, together: np.ndarray | None = None
 def dedup_bytes(docs: DataFrame, width: int = WIDTH, max_bits: int = 30) -> DataFrame:
     """All rows and columns, plus n_bytes, n_removed, n_spans, kept_sha256 and kept_bytes."""
     runs = session.kept_table(repeated_runs(docs, width, max_bits))
-    spans = runs.groupBy("doc_id").agg(F.collect_list("span").alias("_spans")).withColumnRenamed("doc_id", "_doc")
-    some, others = split_by_ids(docs.where("doc_id is not null"), runs.select("doc_id").distinct())
-    joined = some.join(spans, some["doc_id"] == F.col("_doc"), "left").drop("_doc")
-    joined = joined.unionByName(others.unionByName(docs.where("doc_id is null")).withColumn("_spans", F.lit(None).cast("array<bigint>")))
+    joined, spans_at = with_spans(docs, runs)
     added = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes"]
     own = [f for f in docs.schema.fields if f.name not in added]
     names = [f.name for f in own]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in own] + ["n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary"])
 
+    @releasing
     def remove(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffers(batch.column("text"))
             rows = []
-            for i, found in enumerate(batch.column("_spans")):
+            for i, found in enumerate(batch.column(spans_at)):
                 raw = data[offsets[i] : offsets[i + 1]]
                 n_spans = 0
                 n = len(raw)
                 if found.is_valid:
-                    run = np.array(found.as_py(), np.int64)
+                    run = spans_in(found)
                     edge = np.zeros(n + 1, np.int64)
                     np.add.at(edge, np.minimum(run >> 24, n), 1)
                     np.add.at(edge, np.minimum((run >> 24) + (run & 0xFFFFFF) + width - 1, n), -1)
@@ -366,7 +378,7 @@ def dedup_bytes(docs: DataFrame, width: int = WIDTH, max_bits: int = 30) -> Data
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True))], names=[*names, *added])
 
-    return joined.select(*names, "_spans").mapInArrow(remove, schema)
+    return joined.select(*names, spans_at).mapInArrow(remove, schema)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
