@@ -73,7 +73,7 @@ def scored(sections: DataFrame, s: Strategy) -> DataFrame:
     df = df.withColumns({"heading_hit": heading_hit(F.col("heading"), s.headings), "keyword_hits": found(F.col("_low"), s.keywords), "_t": 2 * found(F.col("_low"), s.strong) + found(F.col("_low"), s.weak), "negative_hits": found(F.col("_low"), s.negative)}).drop("_low")
     kw = F.col("keyword_hits") / F.lit(float(max(len(s.keywords), 1)))
     dna = F.least(F.lit(1.0), F.col("_t") / 6.0)
-    df = df.withColumns({"_kw": KEYWORD_LOW + (KEYWORD_HIGH - KEYWORD_LOW) * kw, "_dna": DNA_LOW + (DNA_HIGH - DNA_LOW) * dna, "keyword_hit": F.col("keyword_hits") > 0, "dna_hit": F.col("_t") > 0})
+    df = df.withColumns({"_kw": KEYWORD_LOW + round(KEYWORD_HIGH - KEYWORD_LOW, 6) * kw, "_dna": DNA_LOW + round(DNA_HIGH - DNA_LOW, 6) * dna, "keyword_hit": F.col("keyword_hits") > 0, "dna_hit": F.col("_t") > 0})
     single = F.greatest(F.when(F.col("heading_hit"), F.lit(HEADING)).otherwise(0.0), F.when(F.col("keyword_hit"), F.col("_kw")).otherwise(0.0), F.when(F.col("dna_hit"), F.col("_dna")).otherwise(0.0))
     both = F.col("heading_hit") & (F.col("keyword_hit") | F.col("dna_hit"))
     df = df.withColumns({"score": F.when(both, HEADING + 0.3 * F.col("_kw") + 0.2 * F.col("_dna")).otherwise(single), "channels": F.col("heading_hit").cast("int") + F.col("keyword_hit").cast("int") + F.col("dna_hit").cast("int")})
@@ -153,10 +153,10 @@ def outlier_risk(hits: DataFrame) -> DataFrame:
 
 
 def runtime_confidence(best: DataFrame) -> DataFrame:
-    """Score, margin (full at 0.40) and channels (full at three), weighted."""
+    """Score, margin (full at 0.40) and channels (full at three), weighted; four digits, rounded from the double's own value."""
     bound = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
     parts = {"score": bound(F.col("score")), "margin": bound(F.col("margin") / 0.40), "channels": bound(F.col("channels") / 3.0)}
-    return best.withColumn("confidence", F.round(_sum(F.lit(w) * parts[k] for k, w in RUNTIME_WEIGHTS.items()), 4))
+    return best.withColumn("confidence", F.round(_sum(F.lit(w) * parts[k] for k, w in RUNTIME_WEIGHTS.items()) * 10_000, 0) / 10_000)
 
 
 def heading_exactness(heading: Column, values: tuple[str, ...]) -> Column:
@@ -402,6 +402,6 @@ register(
 )
 register(
     "priority_score",
-    lambda spark, d: v.links(spark, d).select("link_id", F.round(0.5 * (1 - F.abs(F.col("confidence") - 0.5) * 2) + 0.3 * F.least(F.lit(1.0), F.col("confidence") * 600000.0 / 400000.0) + 0.2 * F.when(F.col("section_number") > 4, 0.25).otherwise(0.0), 6).alias("priority")),
+    lambda spark, d: v.links(spark, d).select("link_id", (0.5 * (1 - F.abs(F.col("confidence") - 0.5) * 2) + 0.3 * F.least(F.lit(1.0), F.col("confidence") * 600000.0 / 400000.0) + 0.2 * F.when(F.col("section_number") > 4, 0.25).otherwise(0.0)).alias("p")).select("link_id", (F.round(F.col("p") * 1_000_000, 0) / 1_000_000).alias("priority")),
     v.with_views("links") + "SELECT link_id, round(0.5::DOUBLE * (1 - abs(confidence - 0.5::DOUBLE) * 2) + 0.3::DOUBLE * least(1.0::DOUBLE, confidence * 600000.0::DOUBLE / 400000.0::DOUBLE) + 0.2::DOUBLE * (CASE WHEN section_number > 4 THEN 0.25 ELSE 0 END)::DOUBLE, 6) AS priority FROM links",
 )
