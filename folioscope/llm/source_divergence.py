@@ -158,8 +158,8 @@ def best_terms(n: np.ndarray, p: np.ndarray, q: np.ndarray, terms: list[bytes],
 _PARTIAL = "lang string, part string, g int, other int, term string, value long"
 
 
-def tile(top: int):
-    """One tile pair and block: from its groups and counts to partial pair sums and the best terms of each group."""
+def tile(top: int, sources: int):
+    """One tile pair and block: from its groups and counts to partial pair sums, the best terms of each group, and how many terms it saw."""
 
     def partial(key, groups: pa.Table, counts: pa.Table) -> pa.Table:
         lang, a, b = (k.as_py() for k in key[:3])
@@ -175,7 +175,7 @@ def tile(top: int):
         n[np.searchsorted(g, counts["g"].to_numpy()), term] = counts["n"].to_numpy()
         total[term] = counts["total"].to_numpy()
         p = shares(n, n_group[:, None], v) if n.size else n
-        left, right = g // SOURCES == a, g // SOURCES == b
+        left, right = g // sources == a, g // sources == b
         found = [(g[left], g[right], pair_sums(p[left], p[right]))]
         if a != b:
             found.append((g[right], g[left], pair_sums(p[right], p[left])))
@@ -186,12 +186,12 @@ def tile(top: int):
         size = len(ones)
         return pa.table(
             {
-                "lang": pa.array([lang] * (size + len(best)), pa.string()),
-                "part": pa.array(["pair"] * size + ["term"] * len(best), pa.string()),
-                "g": pa.array(np.r_[ones, g[[r for r, _, _ in best]]].astype(np.int32)),
-                "other": pa.array([*others.tolist(), *[None] * len(best)], pa.int32()),
-                "term": pa.array([*[None] * size, *(t.decode() for _, _, t in best)], pa.string()),
-                "value": pa.array([*values.tolist(), *(x for _, x, _ in best)], pa.int64()),
+                "lang": pa.array([lang] * (size + len(best) + 1), pa.string()),
+                "part": pa.array(["pair"] * size + ["term"] * len(best) + ["seen"], pa.string()),
+                "g": pa.array([*ones.tolist(), *(int(g[r]) for r, _, _ in best), a], pa.int32()),
+                "other": pa.array([*others.tolist(), *[None] * len(best), b], pa.int32()),
+                "term": pa.array([*[None] * size, *(t.decode() for _, _, t in best), None], pa.string()),
+                "value": pa.array([*values.tolist(), *(x for _, x, _ in best), len(words.dictionary)], pa.int64()),
             }
         )
 
@@ -216,11 +216,16 @@ def divergence(docs: DataFrame, least: int = LEAST_DOCUMENTS, top: int = TOP) ->
     counts = beside(numbered, F.pmod(F.xxhash64("term"), F.col("blocks")))
     members = beside(groups.select("lang", "g", "tile", "n_group", "n_lang", "v"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     key = ["lang", "a", "b", "block"]
-    partial = members.groupBy(*key).cogroup(counts.groupBy(*key)).applyInArrow(tile(top), _PARTIAL)
+    partial = members.groupBy(*key).cogroup(counts.groupBy(*key)).applyInArrow(tile(top, SOURCES), _PARTIAL)
     partial = session.kept_table(partial)
     names = groups.select("lang", "g", "source")
     pairs = partial.where("part = 'pair'").groupBy("lang", "g", "other").agg(F.sum("value").alias("value"))
-    pairs = pairs.join(names.withColumnsRenamed({"g": "other", "source": "item"}), ["lang", "other"]).select("lang", "g", F.lit("pair").alias("part"), "item", "value")
+    sides = groups.select("lang", "g", "tile", "v", F.expr(f"1 + {UNIT} div greatest(n_group + v, 1)").alias("p"))
+    others = groups.select("lang", F.col("g").alias("other"), F.col("source").alias("item"), F.col("tile").alias("tile2"), F.expr(f"1 + {UNIT} div greatest(n_group + v, 1)").alias("q"))
+    # Kept terms that no source of the two tiles has were not in their matrices; all of them are alike there.
+    seen = partial.where("part = 'seen'").groupBy("lang", F.col("g").alias("a"), F.col("other").alias("b")).agg(F.sum("value").alias("seen"))
+    pairs = pairs.join(sides, ["lang", "g"]).join(others, ["lang", "other"]).withColumns({"a": F.least("tile", "tile2"), "b": F.greatest("tile", "tile2")}).join(seen, ["lang", "a", "b"])
+    pairs = pairs.select("lang", "g", F.lit("pair").alias("part"), "item", F.expr("value + IF(v > seen, (v - seen) * ((p - q) * (p - q) div q), 0)").alias("value"))
     best = partial.where("part = 'term'").select("lang", "g", "part", F.col("term").alias("item"), "value")
     order = W.partitionBy("lang", "g").orderBy(F.desc("value"), "item")
     best = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
