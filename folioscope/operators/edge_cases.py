@@ -7,6 +7,9 @@ alternatives stay together under ``cohort_only``.
 
 from __future__ import annotations
 
+import json
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -31,8 +34,9 @@ LIMITS = {
     "dup_structural": 200, "dup_ratio": 0.9, "reset_from": 4, "resets": 2,
 }
 CAPPED_ENGINES = ("quoted", "smart_quote", "parenthetical")
-SIGNATURE = r"(by\s*:|name\s*:|title\s*:|in witness whereof|signature page|authorized signatory)"
-PARTY_START = r"^(the borrower|the lenders?|the administrative agent|the company|the issuer)\b"
+# What a term that leaked from a signature page holds, and how one that is a party starts.
+_FIXED = json.loads((Path(__file__).parent / "term_patterns.json").read_text())
+SIGNATURE, PARTY_START = _FIXED["signature"], _FIXED["party_start"]
 
 COLUMNS = ("doc_type", "market_segment", "word_count", "section_count", "definition_count", "clause_count", "facility_size_mm")
 
