@@ -41,8 +41,8 @@ TOP = 200
 #: Terms of a block (about) and sources of a tile; they bound a task's matrix.
 TERMS, SOURCES = 512, 256
 UNIT = 10**9
-#: Bytes of text that are counted at once, and counts that a task holds before it passes them on.
-BYTES, HELD = 1 << 21, 400_000
+#: Bytes of text that are counted at once, counts that a task holds before it passes them on, and rows that it passes on at once.
+BYTES, HELD, SENT = 1 << 19, 200_000, 20_000
 #: Elements of a broadcast of pairs.
 PAIRS = 1 << 20
 
@@ -74,31 +74,35 @@ def chunk_counts(data: np.ndarray, offsets: np.ndarray, groups: np.ndarray) -> t
 
 def counted(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, m): occurrences and documents of each term in each group, each task's own; to be summed."""
-    names = ["lang", "source", "term"]
+    names = ["lang", "source", "term", "n", "m"]
 
     def combined(parts: list[pa.Table]) -> pa.Table:
-        return pa.concat_tables(parts).group_by(names).aggregate([("n", "sum"), ("m", "sum")]).rename_columns([*names, "n", "m"])
+        return pa.concat_tables(parts).group_by(["g", "term"]).aggregate([("n", "sum"), ("m", "sum")]).rename_columns(["g", "term", "n", "m"])
+
+    def named(table: pa.Table, groups: list[tuple[str, str]]) -> Iterator[pa.RecordBatch]:
+        lang, source = (pa.array([g[k] for g in groups], pa.string()) for k in (0, 1))
+        for some in table.combine_chunks().to_batches(max_chunksize=SENT):
+            yield pa.RecordBatch.from_arrays([lang.take(some.column("g")), source.take(some.column("g")), *(some.column(c) for c in ("term", "n", "m"))], names=names)
 
     @releasing
     def count(batches) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, known = [], 0, {}
         for batch in batches:
             data, offsets = text_buffers(batch.column("text"))
-            lang, source = (pc.fill_null(batch.column(c), "").dictionary_encode() for c in ("lang", "source"))
-            k = max(1, len(source.dictionary))
-            groups = lang.indices.to_numpy().astype(np.int64) * k + source.indices.to_numpy()
+            pairs = zip(*(pc.fill_null(batch.column(c), "").to_pylist() for c in ("lang", "source")), strict=True)
+            groups = np.array([known.setdefault(p, len(known)) for p in pairs], np.int64)
             for lo, hi, some, at in chunks(data, offsets, BYTES):
                 group, term, n, m = chunk_counts(some, at, groups[lo:hi])
-                held.append(pa.table([lang.dictionary.take(pa.array(group // k)), source.dictionary.take(pa.array(group % k)), term, pa.array(n), pa.array(m)], names=[*names, "n", "m"]))
+                held.append(pa.table([pa.array(group), term, pa.array(n), pa.array(m)], names=["g", "term", "n", "m"]))
                 size += len(n)
                 if size > 2 * HELD:
                     held = [combined(held)]
                     size = len(held[0])
                     if size > HELD:
-                        yield from held[0].combine_chunks().to_batches(max_chunksize=HELD)
+                        yield from named(held[0], list(known))
                         held, size = [], 0
         if held:
-            yield from combined(held).combine_chunks().to_batches(max_chunksize=HELD)
+            yield from named(combined(held), list(known))
 
     return docs.select("text", "lang", "source").mapInArrow(count, "lang string, source string, term string, n long, m long")
 
