@@ -380,12 +380,13 @@ _KINDS = list(EDGE_POLICY)
 def edges(spark, d) -> DataFrame:
     """Typed edges between families, from the orders of customers of two priorities."""
     o = v.table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
-    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("o_orderkey") % 18 + 1).cast("int"))
+    place = F.ascii("o_orderpriority") + 3 * (F.col("o_orderkey") % 5) + F.when(F.col("o_orderstatus") == "P", 4).otherwise(0)
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (place % 18 + 1).cast("int"))
     target = F.element_at(F.array(*map(F.lit, FAMILIES)), (F.col("o_orderkey") % 5 + 1).cast("int"))
-    return o.where("o_orderkey % 97 = 1").select(F.col("o_orderpriority").alias("source"), target.alias("target"), kind.alias("edge_type"))
+    return o.select(F.col("o_orderpriority").alias("source"), target.alias("target"), kind.alias("edge_type"))
 
 
-_EDGES = f""", e AS (SELECT o_orderpriority AS source, {list(FAMILIES)}[o_orderkey % 5 + 1] AS target, {_KINDS}[o_orderkey % 18 + 1] AS edge_type FROM orders WHERE o_orderkey % 97 = 1),
+_EDGES = f""", e AS (SELECT o_orderpriority AS source, {list(FAMILIES)}[o_orderkey % 5 + 1] AS target, {_KINDS}[(ascii(o_orderpriority) + 3 * (o_orderkey % 5) + CASE WHEN o_orderstatus = 'P' THEN 4 ELSE 0 END) % 18 + 1] AS edge_type FROM orders),
 p AS (SELECT least(source, target) AS a, greatest(source, target) AS b, edge_type, CASE {" ".join(f"WHEN edge_type = '{k}' THEN '{x}'" for k, x in EDGE_POLICY.items())} END AS policy FROM e WHERE source <> target),
 m AS (SELECT a, b, arg_max(policy, r) AS policy, max(r) AS r, string_agg(DISTINCT edge_type, ',' ORDER BY edge_type) AS edge_types FROM (SELECT *, CASE {" ".join(f"WHEN policy = '{k}' THEN {x}" for k, x in POLICY_RANK.items())} END AS r FROM p) GROUP BY 1, 2)
 """

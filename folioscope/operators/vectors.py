@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -51,6 +56,65 @@ def nearest(df: DataFrame, queries: DataFrame, k: int, most: int = 10_000, block
     return out
 
 
+def most_similar(rows: DataFrame, centres: DataFrame, k: int, block: int = 2_000) -> DataFrame:
+    """(family_id, id, similarity): the k rows most like each centre, out of all rows (id, embedding); ties by id.
+
+    Centres (family_id, centroid) go to the tasks in blocks of at most ``block`` by a hash,
+    counted first, so a broadcast is bounded whatever their number. A task multiplies its
+    batches with a block and keeps a heap of k rows for each centre; the heaps are merged
+    by a ranking that needs k rows a task and centre. Nothing is left out: a centre meets
+    every row.
+    """
+    parts = -(-centres.count() // (block // 2)) or 1
+    numbered = centres.select("family_id", "centroid").withColumn("_b", F.pmod(F.xxhash64("family_id"), F.lit(parts)))
+    kind, owner = rows.schema["id"].dataType, centres.schema["family_id"].dataType
+    out = None
+    for b in range(parts):
+        some = [(r["family_id"], r["centroid"]) for r in numbered.where(F.col("_b") == b).limit(block + 1).collect()]  # a block of centres
+        if len(some) > block:
+            raise ValueError("centres fall unevenly into blocks: raise block")
+        if not some:
+            continue
+        shared = rows.sparkSession.sparkContext.broadcast(some)
+
+        def best(batches, shared=shared) -> Iterator[pa.RecordBatch]:
+            families, matrix = [f for f, _ in shared.value], np.array([c for _, c in shared.value], np.float64)
+            norms = np.linalg.norm(matrix, axis=1)
+            unit = matrix / np.where(norms > 1e-9, norms, 1.0)[:, None] * (norms > 1e-9)[:, None]
+            heaps: list[list] = [[] for _ in families]
+            for batch in batches:
+                ids = batch.column("id").to_pylist()
+                x = np.array(batch.column("embedding").to_pylist(), np.float64).reshape(len(ids), -1)
+                if not len(ids):
+                    continue
+                length = np.linalg.norm(x, axis=1)
+                cosines = np.round((x / np.where(length > 1e-9, length, 1.0)[:, None] * (length > 1e-9)[:, None]) @ unit.T, 6)
+                for c, heap in enumerate(heaps):
+                    column = cosines[:, c]
+                    floor = np.partition(column, len(ids) - k)[len(ids) - k] if len(ids) > k else -2.0
+                    heaps[c] = heapq.nsmallest(k, [*heap, *((-float(column[i]), ids[i]) for i in np.flatnonzero(column >= floor))])
+            found = [(families[c], i, -s) for c, heap in enumerate(heaps) for s, i in heap]
+            if found:
+                columns = list(zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2], pa.float64())], names=["family_id", "id", "similarity"])
+
+        part = rows.where("embedding is not null").select("id", "embedding").mapInArrow(best, f"family_id {owner.simpleString()}, id {kind.simpleString()}, similarity double")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return centres.join(rows.select("id", F.lit(0.0).alias("similarity")), F.lit(False)).select("family_id", "id", "similarity")
+    order = W.partitionBy("family_id").orderBy(F.desc("similarity"), "id")
+    return out.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= k).drop("_k")
+
+
+def similar_or_linked(rows: DataFrame, centres: DataFrame, links: DataFrame, k: int) -> DataFrame:
+    """(family_id, id, similarity, by): ``most_similar``, and for families without a centre their k active links of most confidence."""
+    near = most_similar(rows, centres, k).withColumns({"similarity": F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), "similarity")), 4), "by": F.lit("centroid")})
+    other = links.where("status = 'active'").join(centres.select("family_id").distinct(), "family_id", "left_anti")
+    order = W.partitionBy("family_id").orderBy(F.desc("confidence"), "id")
+    ranked = other.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= k)
+    return near.unionByName(ranked.select("family_id", "id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), "confidence")), 4).alias("similarity"), F.lit("link").alias("by")))
+
+
 def signatures(texts: DataFrame, permutations: int = PERMUTATIONS, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, m0, m1, ...): MinHash over word shingles; texts with fewer words have none."""
     words = F.filter(F.split(F.lower("text"), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
@@ -107,6 +171,24 @@ register(
     lambda spark, d: centroids(_embeddings(spark, d), "label").alias("x").join(F.broadcast(centroids(_embeddings(spark, d), "label")).alias("y"), F.col("x.label") < F.col("y.label")).select(F.col("x.label").alias("a"), F.col("y.label").alias("b"), F.round(cosine(F.col("x.centroid"), F.col("y.centroid")), 6).alias("similarity")),
     f"WITH {_CENTROIDS} SELECT a.label AS a, b.label AS b, round({_COS}, 6) AS similarity FROM c a JOIN c b ON a.label < b.label",
 )
+
+
+def _similar(spark, d) -> DataFrame:
+    """Centres of all labels but one, which has links instead."""
+    rows = _embeddings(spark, d).select(F.col("vec_id").alias("id"), "embedding", "label")
+    centres = centroids(rows.where("label <> 3").withColumn("family_id", F.concat(F.lit("family "), "label")), "family_id").select("family_id", "centroid")
+    links = rows.select(F.concat(F.lit("family "), "label").alias("family_id"), "id", F.when(F.col("id") % 2 == 0, "active").otherwise("unlinked").alias("status"), (F.pmod(F.col("id") * 7919, F.lit(1000)) / 999.0).alias("confidence"))
+    return similar_or_linked(rows, centres, links, 10)
+
+
+register(
+    "similar_sections",
+    _similar,
+    f"""WITH {_CENTROIDS}, f AS (SELECT label, embedding FROM c WHERE label <> 3), p AS (SELECT 'family ' || b.label AS family_id, a.vec_id AS id, round({_COS}, 6) AS s FROM embeddings a, f b),
+r AS (SELECT *, row_number() OVER (PARTITION BY family_id ORDER BY s DESC, id) AS k FROM p), l AS (SELECT 'family 3' AS family_id, vec_id AS id, (vec_id * 7919 % 1000) / 999.0::DOUBLE AS confidence FROM embeddings WHERE label = 3 AND vec_id % 2 = 0),
+q AS (SELECT *, row_number() OVER (PARTITION BY family_id ORDER BY confidence DESC, id) AS k FROM l)
+SELECT family_id, id, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, s)), 4) AS similarity, 'centroid' AS "by" FROM r WHERE k <= 10 UNION ALL SELECT family_id, id, round(confidence, 4), 'link' FROM q WHERE k <= 10""",
+)
 _W = "regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+')"
 _SIG = f"""WITH w AS (SELECT doc_id, unnest({_W}) AS w, unnest(range(1, len({_W}) + 1)) AS i FROM documents),
 g AS (SELECT doc_id, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o AS s FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),

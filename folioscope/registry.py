@@ -32,7 +32,7 @@ def oracle_sql() -> dict[str, str]:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from .operators import aggregates, clustering, discovery, edge_cases, graphs, joins, parsing, rules, scoring, search, vectors, windows  # noqa: F401
+    from .operators import aggregates, clauses, clustering, discovery, edge_cases, graphs, html_maps, joins, kmeans, outlines, parsing, rules, scoring, search, vectors, windows  # noqa: F401
     from .sources import files  # noqa: F401
 
 
