@@ -23,17 +23,17 @@ def register(name: str, query: Query, sql: str | None = None) -> None:
 
 
 def queries() -> dict[str, Query]:
+    load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    load()
     return dict(_ORACLE)
 
 
 def load() -> None:
-    """Import the modules that register queries."""
+    """Import the modules that register queries; on the first call for them, since these modules import this one."""
     from .operators import aggregates, clauses, clustering, discovery, edge_cases, graphs, html_maps, joins, kmeans, outlines, parsing, rules, scoring, search, vectors, windows  # noqa: F401
     from .sources import files  # noqa: F401
 
-
-load()
