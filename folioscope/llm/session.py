@@ -45,12 +45,13 @@ def join_small(big: DataFrame, small: DataFrame, key: str, salt_on: str, most: i
     Beyond that bound the hot keys of ``big`` are salted by a hash of ``salt_on``
     and ``small`` is repeated once for each salt. Null keys match null keys.
     """
-    small = small.withColumnRenamed(key, "_key")
+    own, salt, s = (fresh(name, big, small) for name in ("_key", "_salt", "_s"))
+    small = small.withColumnRenamed(key, own)
     if small.limit(most + 1).count() <= most:
-        return big.join(F.broadcast(small), big[key].eqNullSafe(F.col("_key")), how).drop("_key")
-    salted = small.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    big = big.withColumn("_salt", F.pmod(F.xxhash64(salt_on), F.lit(salts)).cast("int"))
-    return big.join(salted, big[key].eqNullSafe(F.col("_key")) & (F.col("_salt") == F.col("_s")), how).drop("_key", "_s", "_salt")
+        return big.join(F.broadcast(small), big[key].eqNullSafe(F.col(own)), how).drop(own)
+    salted = small.withColumn(s, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    big = big.withColumn(salt, F.pmod(F.xxhash64(salt_on), F.lit(salts)).cast("int"))
+    return big.join(salted, big[key].eqNullSafe(F.col(own)) & (F.col(salt) == F.col(s)), how).drop(own, s, salt)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,6 +46,8 @@ BLOCKS = 1 << BLOCKS_LOG
 FILL = 256
 #: Sources of so many documents at most take their nearest subset; two bits a document in a long.
 SMALL = 31
+#: The columns that the mix reads.
+READ = ("doc_id", "source", "text")
 
 
 def word_count(text: Column) -> Column:
@@ -229,18 +231,33 @@ def assigned(rows: DataFrame, plan: DataFrame) -> DataFrame:
     return df.withColumns({"taken": F.col("copies") * F.col("size"), "shards": shards}).drop("_b", "base", "upto", "picks", "twice", "shard_of")
 
 
-def mixed(docs: DataFrame, levels: int = 4, seed: int = 17, **options) -> DataFrame:
-    """Every row and column of ``docs``, with what ``assigned`` adds."""
+def _packed(docs: DataFrame) -> DataFrame:
+    """What the mix reads, and the other columns in one, so that no name clashes with those used here."""
+    rest = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c not in READ]
+    return docs.select(*READ, F.struct(*rest, F.lit(True).alias("any")).alias("_rest"))
+
+
+def _unpacked(df: DataFrame, docs: DataFrame, outputs: tuple[str, ...]) -> DataFrame:
+    """All columns of ``docs`` but those named like an output, then the outputs."""
+    named = [(i, c) for i, c in enumerate(docs.columns) if c.lower() not in outputs]
+    return df.select(*(F.col(c) if c in READ else F.col("_rest").getField(f"c{i}").alias(c) for i, c in named), *outputs)
+
+
+def _taken(docs: DataFrame, levels: int, seed: int, options: dict) -> DataFrame:
     plan = mix_plan(sized(docs, seed), levels=levels, seed=seed, **options)
-    clash = {"size", "source_size", "target", "copies", "taken", "shards", "base", "upto", "picks", "twice", "shard_of"}
-    return assigned(keyed(docs.drop(*(c for c in docs.columns if c in clash)), seed), plan)
+    return assigned(keyed(_packed(docs), seed), plan)
+
+
+def mixed(docs: DataFrame, levels: int = 4, seed: int = 17, **options) -> DataFrame:
+    """Every row and column of ``docs``, with its size, its source's size and target, and the copies, words and shards taken."""
+    return _unpacked(_taken(docs, levels, seed, options), docs, ("size", "source_size", "target", "copies", "taken", "shards"))
 
 
 def mixed_copies(docs: DataFrame, levels: int = 4, seed: int = 17, **options) -> DataFrame:
     """One row for each copy that the mix takes, with its shard, copy number and local shuffle key."""
-    df = mixed(docs, levels, seed, **options)
-    df = df.select("*", F.posexplode("shards").alias("copy", "shard"))
-    return df.withColumn("order_key", F.xxhash64("_h", "copy", F.lit(seed + 1))).drop("shards", "copies", "_h")
+    df = _taken(docs, levels, seed, options).select("*", F.posexplode("shards").alias("copy", "shard"))
+    df = df.withColumn("order_key", F.xxhash64("_h", "copy", F.lit(seed + 1)))
+    return _unpacked(df, docs, ("size", "source_size", "target", "taken", "copy", "shard", "order_key"))
 
 
 def write_shards(copies: DataFrame, path: str) -> None:

@@ -11,7 +11,7 @@ from conftest import TEXTS, frame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from folioscope.llm import packing, queries, source_mixing
+from folioscope.llm import packing, queries, session, source_mixing
 
 
 def check_mix(rows):
@@ -55,6 +55,33 @@ def test_mix_odd_texts_and_clashing_columns(odd):
         assert r["target"] == pytest.approx(want[r["source"]]) and r["taken"] <= 2 * r["size"]
 
 
+CLASHES = ("_key", "_salt", "_s", "_h", "_b", "upto", "picks", "twice", "base", "shard_of", "_rest", "c0", "a.dot", "Rank")
+
+
+def test_clashing_names_pass_through_the_mix(odd):
+    docs = odd.withColumns({**{c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in CLASHES}, "Size": F.lit("mine"), "shards": F.lit("mine"), "copy": F.lit("mine")})
+    plain = {repr(r) for r in source_mixing.mixed(odd).select("doc_id", "size", "taken", "shards").collect()}
+    got = source_mixing.mixed(docs)
+    assert [c for c in got.columns if c in CLASHES] == list(CLASHES) and "Size" not in got.columns
+    rows = got.collect()
+    assert all(r[c] == (None if r["doc_id"] is None else f"{c}{r['doc_id']}") for r in rows for c in CLASHES)
+    assert {r["copy"] for r in rows} == {"mine"} and {repr(r) for r in got.select("doc_id", "size", "taken", "shards").collect()} == plain
+    copies = source_mixing.mixed_copies(docs)
+    rows = copies.collect()
+    assert all(r[c] == (None if r["doc_id"] is None else f"{c}{r['doc_id']}") for r in rows for c in CLASHES)
+    assert {r["shards"] for r in rows} == {"mine"} and {r["copy"] for r in rows} <= {0, 1}
+    keys = [repr(tuple(r)) for r in copies.select("doc_id", "taken", "copy", "shard", "order_key").collect()]
+    assert sorted(keys) == sorted(repr(tuple(r)) for r in source_mixing.mixed_copies(odd).select("doc_id", "taken", "copy", "shard", "order_key").collect())
+
+
+@pytest.mark.parametrize("most", [10, 0])
+def test_small_joins_keep_clashing_names(spark, most):
+    big = spark.createDataFrame([(1, None, 5, 6, 7), (2, "a", 8, 9, 10)], "id long, k string, _key int, _salt int, _s int")
+    small = spark.createDataFrame([("a", 3), (None, 4)], "k string, __key int")
+    got = session.join_small(big, small, "k", "id", most=most)
+    assert sorted(map(tuple, got.select("id", "_key", "_salt", "_s", "__key").collect())) == [(1, 5, 6, 7, 4), (2, 8, 9, 10, 3)]
+
+
 def test_mix_of_one_source_and_of_nothing(spark, empty):
     got = source_mixing.mixed(frame(spark, [(k, "a b c d") for k in range(50)]).withColumn("source", F.lit("s"))).collect()
     assert {r["target"] for r in got} == {300.0} and sum(r["taken"] for r in got) == 300
