@@ -12,6 +12,7 @@ counts, a forest of its links and border links, never its pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ BASE, MODULUS, MASK = 1_000_003, 4294967291, (1 << 32) - 1
 EPS, MIN_SAMPLES, SHINGLE, PERMUTATIONS = 0.34, 8, 7, 128
 #: Points of a side of a tile, and rows that are compared with it at once.
 TILE, ROWS = 512, 64
+#: (rows of one side, rows of the other, neighbours, those that no earlier bucket has met), for strips of a tile.
+Compared = Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
 
 def coefficients(n: int) -> list[tuple[int, int]]:
@@ -78,14 +81,49 @@ def cut(permutations: int, eps: float) -> tuple[int, list[int]]:
     return far, [k * permutations // (far + 1) for k in range(far + 2)]
 
 
-def tiles(points: DataFrame, permutations: int, eps: float) -> DataFrame:
+@dataclass(frozen=True)
+class Places:
+    """Neighbours by signatures that differ in at most a share ``eps`` of their places."""
+
+    permutations: int = PERMUTATIONS
+    eps: float = EPS
+    columns = ("signature",)
+
+    def buckets(self, points: DataFrame) -> DataFrame:
+        """(id, k, bucket): the bands of each point."""
+        _, bounds = cut(self.permutations, self.eps)
+        bands = [F.struct(F.lit(k).alias("k"), F.xxhash64(F.lit(k), F.slice("signature", a + 1, b - a)).alias("bucket")) for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))]
+        return points.select("id", F.explode(F.array(*bands)).alias("x")).select("id", "x.k", "x.bucket")
+
+    def compared(self, group: dict[str, np.ndarray]) -> Compared:
+        """Strips of a tile; a pair is first met in the first band that it shares."""
+        far, bounds = cut(self.permutations, self.eps)
+        left, right = sides(group)
+        s, k = np.stack(group["signature"]), int(group["k"][0])
+        for a in range(0, len(left), ROWS):
+            rows = left[a : a + ROWS]
+            equal = s[rows, None, :] == s[None, right, :]
+            near = equal.sum(axis=2) >= s.shape[1] - far
+            if right is left:
+                near[np.arange(len(rows)), a + np.arange(len(rows))] = False
+            first = near.copy()
+            for lo, hi in zip(bounds[:k], bounds[1 : k + 1], strict=True):
+                first &= ~equal[:, :, lo:hi].all(axis=2)
+            yield rows, right, near, first
+
+
+def sides(group: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of both sides of a tile; the same array where a part meets itself."""
+    left = np.flatnonzero(group["side"] == 0)
+    return left, left if group["lo"][0] == group["hi"][0] else np.flatnonzero(group["side"] == 1)
+
+
+def tiles(points: DataFrame, measure) -> DataFrame:
     """(bucket, k, lo, hi, side, id): the points of each bucket of two or more, in pairs of parts of about TILE points.
 
     A bucket of m points gives a point m / TILE times; no bucket is left out.
     """
-    _, bounds = cut(permutations, eps)
-    bands = [F.struct(F.lit(k).alias("k"), F.xxhash64(F.lit(k), F.slice("signature", a + 1, b - a)).alias("bucket")) for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))]
-    banded = points.select("id", F.explode(F.array(*bands)).alias("x")).select("id", "x.k", "x.bucket")
+    banded = measure.buckets(points)
     sizes = written(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     total = sizes.agg(F.sum("n")).first()[0] or 0
     rows = joined_by_size(banded, sizes, "bucket", total).withColumn("parts", F.ceil(F.col("n") / TILE).cast("int"))
@@ -99,9 +137,7 @@ def tile_groups(batches) -> Iterator[dict[str, np.ndarray]]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        cells = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in batch.schema.names if n != "signature"}
-        flat = batch.column("signature").flatten().to_numpy()
-        cells["signature"] = flat.reshape(batch.num_rows, -1)
+        cells = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in batch.schema.names}
         if held is not None:
             cells = {n: np.concatenate([held[n], cells[n]]) for n in cells}
         new = np.zeros(len(cells["bucket"]), bool)
@@ -115,36 +151,18 @@ def tile_groups(batches) -> Iterator[dict[str, np.ndarray]]:
         yield held
 
 
-def compared(group: dict[str, np.ndarray], far: int, bounds: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(rows of one side, rows of the other, neighbours, those that no earlier band has met) for strips of a tile."""
-    left = np.flatnonzero(group["side"] == 0)
-    right = left if group["lo"][0] == group["hi"][0] else np.flatnonzero(group["side"] == 1)
-    s, k = group["signature"], int(group["k"][0])
-    for a in range(0, len(left), ROWS):
-        rows = left[a : a + ROWS]
-        equal = s[rows, None, :] == s[None, right, :]
-        near = equal.sum(axis=2) >= s.shape[1] - far
-        if right is left:
-            near[np.arange(len(rows)), a + np.arange(len(rows))] = False
-        first = near.copy()
-        for lo, hi in zip(bounds[:k], bounds[1 : k + 1], strict=True):
-            first &= ~equal[:, :, lo:hi].all(axis=2)
-        yield rows, right, near, first
-
-
 def _compare(rows: DataFrame, step, schema: str) -> DataFrame:
     key = ["bucket", "lo", "hi"]
     return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(step, schema)
 
 
-def neighbour_weights(rows: DataFrame, permutations: int, eps: float) -> DataFrame:
-    """(id, w): the weight of each point's neighbours, each counted in the first band that it shares."""
-    far, bounds = cut(permutations, eps)
+def neighbour_weights(rows: DataFrame, measure) -> DataFrame:
+    """(id, w): the weight of each point's neighbours, each counted in the first bucket that it shares."""
 
     def count(batches) -> Iterator[pa.RecordBatch]:
         for g in tile_groups(batches):
             w = np.zeros(len(g["id"]), np.int64)
-            for left, right, _, first in compared(g, far, bounds):
+            for left, right, _, first in measure.compared(g):
                 w[left] += first @ g["weight"][right]
                 if g["lo"][0] != g["hi"][0]:
                     w[right] += g["weight"][left] @ first
@@ -155,19 +173,18 @@ def neighbour_weights(rows: DataFrame, permutations: int, eps: float) -> DataFra
     return _compare(rows, count, f"id {kind}, w long").groupBy("id").agg(F.sum("w").alias("w"))
 
 
-def dense_links(rows: DataFrame, permutations: int, eps: float) -> DataFrame:
+def dense_links(rows: DataFrame, measure) -> DataFrame:
     """(a, b, border): links that join the neighbouring core points of a tile, as a forest; and all core neighbours of other points.
 
     A point that isn't core has fewer neighbours than make it one, so these are few too.
     """
-    far, bounds = cut(permutations, eps)
 
     def link(batches) -> Iterator[pa.RecordBatch]:
         for g in tile_groups(batches):
             n, core = len(g["id"]), g["core"].astype(bool)
             least, edge_a, edge_b = np.arange(n), [], []
             strips = []
-            for left, right, near, _ in compared(g, far, bounds):
+            for left, right, near, _ in measure.compared(g):
                 some = near & core[left][:, None] & core[right][None, :]
                 strips.append((left, right, some))
                 x, y = np.nonzero(near & ~core[left][:, None] & core[right][None, :])
@@ -197,18 +214,18 @@ def dense_links(rows: DataFrame, permutations: int, eps: float) -> DataFrame:
     return _compare(rows, link, f"a {kind}, b {kind}, border boolean")
 
 
-def density(points: DataFrame, eps: float = EPS, min_samples: int = MIN_SAMPLES, permutations: int = PERMUTATIONS) -> DataFrame:
-    """(id, kind, cluster) of points (id, weight, signature), one for each distinct signature. A written table.
+def density(points: DataFrame, measure, min_samples: int = MIN_SAMPLES) -> DataFrame:
+    """(id, kind, cluster) of points (id, weight and the columns of ``measure``), which are all distinct. A written table.
 
-    ``core``: the weight within ``eps``, its own included, is at least ``min_samples``.
+    ``core``: the weight of its neighbours, its own included, is at least ``min_samples``.
     A cluster is named by its least core id. A point beside core points only is
     ``border`` and joins the cluster with the least name; the rest are ``noise``.
     """
-    rows = written(tiles(points, permutations, eps))
-    weights = neighbour_weights(rows.join(points.select("id", "weight", "signature"), "id"), permutations, eps)
+    rows = written(tiles(points, measure))
+    weights = neighbour_weights(rows.join(points.select("id", "weight", *measure.columns), "id"), measure)
     cores = written(points.join(weights, "id", "left").select("id", "weight", F.coalesce("w", F.lit(0)).alias("w")).select("id", (F.col("weight") + F.col("w") >= min_samples).alias("core"), (F.col("w") > 0).alias("near")))
-    met = rows.join(cores.where("near").select("id", "core"), "id").join(points.select("id", "signature"), "id")
-    links = written(dense_links(met, permutations, eps))
+    met = rows.join(cores.where("near").select("id", "core"), "id").join(points.select("id", *measure.columns), "id")
+    links = written(dense_links(met, measure))
     found = components(links.where("not border"))
     named = cores.where("core").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("cluster"))
     border = links.where("border").select(F.col("a").alias("own"), F.col("b").alias("id")).join(named, "id").groupBy(F.col("own").alias("id")).agg(F.min("cluster").alias("beside"))
@@ -240,7 +257,7 @@ def template_clusters(texts: DataFrame, eps: float = EPS, min_samples: int = MIN
     """(doc_id, kind, cluster, confidence) of each document (doc_id, text); noise has no cluster and confidence 0."""
     signed = written(char_signatures(texts, shingle, permutations))
     points = written(signed.groupBy("signature").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("weight")))
-    found = density(points, eps, min_samples, permutations)
+    found = density(points, Places(permutations, eps), min_samples)
     sure = cluster_confidence(points.join(found.select("id", "cluster"), "id"))
     each = found.join(sure, "id", "left").join(points, "id").select("signature", F.col("weight").alias("n"), "kind", "cluster", F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
     return joined_by_size(signed, each, "signature", signed.count()).select("doc_id", "kind", "cluster", "confidence")

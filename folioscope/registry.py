@@ -34,6 +34,6 @@ def oracle_sql() -> dict[str, str]:
 
 def load() -> None:
     """Import the modules that register queries; on the first call for them, since these modules import this one."""
-    from .operators import aggregates, clauses, clustering, discovery, edge_cases, graphs, html_maps, joins, kmeans, outlines, parsing, rules, scoring, search, vectors, windows  # noqa: F401
+    from .operators import aggregates, clauses, clustering, discovery, edge_cases, graphs, html_maps, joins, kmeans, outlines, parsing, rules, scoring, search, tfidf_clusters, vectors, windows  # noqa: F401
     from .sources import files, incremental  # noqa: F401
 
