@@ -8,9 +8,11 @@ that of ``parsing.html_text``.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,19 +68,41 @@ def mapped_text(html: str) -> tuple[str, list[Run]]:
 _RUNS = "array<struct<text_start: int, page_start: int, text_length: int, page_length: int>>"
 
 
+#: Bytes of pages that are mapped before their rows are given out.
+PIECE = 1 << 20
+
+
+def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ``limit`` bytes of the column, or of one longer row."""
+    start = size = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+        if size + n > limit and i > start:
+            yield batch.slice(start, i - start)
+            start, size = i, 0
+        size += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 def html_map(pages: DataFrame, html: str = "html") -> DataFrame:
     """All columns plus ``text`` and ``runs``; places count from 0 in characters. A null page has null text and no runs."""
     names = [c for c in pages.columns if c not in ("text", "runs")]
     fields = pa.struct([(n, pa.int32()) for n in ("text_start", "page_start", "text_length", "page_length")])
 
     def read(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, runs = [], []
-            for page in batch.column(html):
-                text, found = (None, []) if page.as_py() is None else mapped_text(page.as_py())
-                texts.append(text)
-                runs.append([dict(zip(fields.names, r, strict=True)) for r in found])
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(texts, pa.string()), pa.array(runs, pa.list_(fields))], names=[*names, "text", "runs"])
+        for whole in batches:
+            for batch in pieces(whole, html):
+                texts, flat, ends = [], array("i"), array("i", [0])
+                for page in batch.column(html):
+                    text, found = (None, []) if page.as_py() is None else mapped_text(page.as_py())
+                    texts.append(text)
+                    for run in found:
+                        flat.extend(run)
+                    ends.append(len(flat) // 4)
+                # Numbers, not objects: four columns of 32 bits, and where each page's runs end.
+                columns = [pa.array(flat[k::4], pa.int32()) for k in range(4)]
+                runs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, fields=list(fields)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(texts, pa.string()), runs], names=[*names, "text", "runs"])
 
     schema = pages.select(*names).limit(0).selectExpr("*", "cast(null as string) AS text", f"cast(null as {_RUNS}) AS runs").schema
     return pages.select(*names).mapInArrow(read, schema)
