@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..plans import views as v
-from ..plans.stages import delete, joined_by_size, written
+from ..plans.stages import beside, delete, joined_by_size, written
 from ..registry import register
 from .scoring import link_confidence
 
@@ -57,45 +57,52 @@ def contained(needles: DataFrame, texts: DataFrame) -> DataFrame:
     """(needle, h): the distinct texts (h) that contain each distinct needle.
 
     A needle is looked up by the run of three characters (or itself, if shorter) that
-    the fewest texts have.
+    the fewest texts have. Only runs that some needle has are counted.
     """
-    keys = [F.coalesce(grams(F.col("h"), w), F.array().cast("array<string>")) for w in range(1, GRAM + 1)]
-    held = texts.select("h", F.explode(F.concat(*keys)).alias("g"))
-    common = held.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     own = F.when(F.length("needle") >= GRAM, grams(F.col("needle"), GRAM)).otherwise(F.array("needle"))
-    rarest = needles.where("needle <> ''").select("needle", F.explode(own).alias("g")).join(common, "g", "left")
-    rarest = rarest.groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("x")).where("x.n > 0").select("needle", F.col("x.g").alias("g"))
-    return held.join(rarest, "g").where(F.col("h").contains(F.col("needle"))).select("needle", "h")
+    asked = written(needles.where("needle <> ''").select("needle", F.explode(own).alias("g")))
+    widths = [r[0] for r in asked.select(F.length("g").alias("w")).distinct().orderBy("w").collect()]  # at most three
+    keys = [F.coalesce(grams(F.col("h"), w), F.array().cast("array<string>")) for w in widths]
+    held = texts.select("h", F.explode(F.concat(*keys) if keys else F.array().cast("array<string>")).alias("g"))
+    common = held.join(beside(asked.select("g").distinct()), "g").groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    rarest = asked.join(common, "g").groupBy("needle").agg(F.min(F.struct("n", "g")).alias("x"), F.count(F.lit(1)).alias("met"))
+    # A text that holds the needle has all its runs, so a needle with a run that no text has is in none.
+    runs = asked.groupBy("needle").agg(F.count(F.lit(1)).alias("runs"))
+    rarest = written(rarest.join(runs, "needle").where("met = runs").select("needle", F.col("x.g").alias("g")))
+    return held.join(beside(rarest), "g").where(F.col("h").contains(F.col("needle"))).select("needle", "h")
 
 
 def half_shared(needles: DataFrame, texts: DataFrame) -> DataFrame:
     """(needle, h): the texts that have at least half of the needle's distinct words.
 
     Of n words a text with half of them has at least one among any n - ceil(n / 2) + 1;
-    the needle is looked up by those that the fewest texts have.
+    the needle is looked up by those that the fewest texts have, and a pair counts at the
+    first of them that the text has.
     """
     words = lambda c: F.array_distinct(F.filter(F.split(c, "\\s+"), lambda w: w != ""))
-    held = texts.select("h", words(F.col("h")).alias("hw"))
-    each = held.select("h", "hw", F.explode("hw").alias("w"))
-    common = each.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    own = needles.select("needle", words(F.col("needle")).alias("nw")).where(F.size("nw") > 0)
-    ranked = own.select("needle", "nw", F.explode("nw").alias("w")).join(common, "w", "left")
-    first = ranked.groupBy("needle").agg(F.first("nw").alias("nw"), F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w"))).alias("x"))  # one needle's words
+    asked = written(needles.select("needle", words(F.col("needle")).alias("nw")).select("needle", "nw", F.explode("nw").alias("w")))
+    each = texts.select("h", F.explode(words(F.col("h"))).alias("w"))
+    common = each.join(beside(asked.select("w").distinct()), "w").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    first = asked.join(common, "w", "left").groupBy("needle").agg(F.first("nw").alias("nw"), F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w"))).alias("x"))  # one needle's words
     kept = F.size("nw") - F.ceil(F.size("nw") / 2).cast("int") + 1
-    keys = first.select("needle", "nw", F.explode(F.slice("x", F.lit(1), kept)).alias("x")).where("x.n > 0").select("needle", "nw", F.col("x.w").alias("w"))
-    pairs = each.join(keys, "w").where(2 * F.size(F.array_intersect("hw", "nw")) >= F.size("nw"))
-    return pairs.select("needle", "h").distinct()
+    keys = first.select("needle", "nw", F.filter(F.slice("x", F.lit(1), kept), lambda x: x["n"] > 0)["w"].alias("ks"))
+    keys = written(keys.select("needle", "nw", "ks", F.explode("ks").alias("w")))
+    of_text = words(F.col("h"))
+    pairs = each.join(beside(keys), "w").where(2 * F.size(F.array_intersect(of_text, "nw")) >= F.size("nw"))
+    return pairs.where(F.col("w") == F.get(F.array_intersect("ks", of_text), F.lit(0))).select("needle", "h")
 
 
 def heading_matches(rules: DataFrame, headings: DataFrame) -> DataFrame:
-    """(rule_id, h, match_type, matched_value): the first phrase that the heading contains, else the first of which it has half the words."""
-    values = rules.select("rule_id", F.posexplode("phrases").alias("i", "value")).withColumn("needle", lowered(F.col("value"))).where("needle <> ''")
+    """(rule_id, h, rank, i): of the rule's phrases the first (place i) that the heading contains (rank 0), else the first of which it has half the words (rank 1).
+
+    The rows of a heading lie in one partition.
+    """
+    values = written(rules.select("rule_id", F.posexplode("phrases").alias("i", "value")).select("rule_id", "i", lowered(F.col("value")).alias("needle")).where("needle <> ''"))
     needles, texts = values.select("needle").distinct(), headings.where("h <> ''")
-    kind = F.when(F.col("needle") == F.col("h"), "exact").otherwise("substring")
-    whole = contained(needles, texts).select("needle", "h", F.lit(0).alias("rank"), kind.alias("match_type"))
-    part = half_shared(needles, texts).select("needle", "h", F.lit(1).alias("rank"), F.lit("partial").alias("match_type"))
-    best = whole.unionByName(part).join(values, "needle").groupBy("rule_id", "h").agg(F.min(F.struct("rank", "i", "match_type", "value")).alias("x"))
-    return best.select("rule_id", "h", "x.match_type", F.col("x.value").alias("matched_value"))
+    pairs = contained(needles, texts).withColumn("rank", F.lit(0)).unionByName(half_shared(needles, texts).withColumn("rank", F.lit(1)))
+    # The two hold a pair once each; what is shuffled are a heading and numbers.
+    best = pairs.join(beside(values), "needle").select("h", "rule_id", "rank", "i").repartition("h").groupBy("rule_id", "h").agg(F.min(F.struct("rank", "i")).alias("x"))
+    return best.select("rule_id", "h", "x.rank", "x.i")
 
 
 def concept_matches(concepts: Column, actual: Column) -> Column:
@@ -124,23 +131,30 @@ def scan(rules: DataFrame, sections: DataFrame, articles: DataFrame, definitions
     concepts, one without either takes all.
     """
     none = F.array().cast("array<string>")
-    rules = rules.withColumns({c: F.coalesce(c, none) for c in ("phrases", "concepts", "terms", "term_phrases")})
+    rules = written(rules.withColumns({c: F.coalesce(c, none) for c in ("phrases", "concepts", "terms", "term_phrases")}))
     has_phrase = F.exists("phrases", lambda x: lowered(x) != "")
     rows = sections.withColumns({"h": lowered(F.coalesce("heading", F.lit("")))}).join(articles.select("doc_id", "article_num", "concept").dropDuplicates(["doc_id", "article_num"]), ["doc_id", "article_num"], "left").withColumn("actual", token(F.col("concept")))
+    # Of a document's terms only those that some rule expects are gathered, beside its sections.
+    expected = written(rules.select(F.explode("terms").alias("t")).select(F.lower("t").alias("t")).distinct())
+    if expected.isEmpty():
+        rows = rows.withColumn("present", none)
+    else:
+        present = definitions.select("doc_id", F.lower("term").alias("t")).join(beside(expected), "t", "left_semi").groupBy("doc_id").agg(F.collect_set("t").alias("present"))
+        rows = rows.join(present, "doc_id", "left").withColumn("present", F.coalesce("present", none))
     rows = written(rows)
     total = rows.count()
-    packed = F.collect_list(F.struct("rule_id", "match_type", "matched_value")).alias("found")  # at most the rules
+    packed = F.collect_list(F.struct("rule_id", "rank", "i")).alias("found")  # at most the rules
     headings = written(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")))
-    by_heading = heading_matches(rules.where(has_phrase), headings.select("h")).groupBy("h").agg(packed).join(headings, "h")
+    by_heading = written(heading_matches(rules.where(has_phrase), headings.select("h")).groupBy("h").agg(packed).join(headings.hint("merge"), "h"))
     found = [joined_by_size(rows, by_heading, "h", total).drop("n")]
     open_rules = rules.where(~has_phrase)
-    plain = [F.lit("none").alias("match_type"), F.lit("").alias("matched_value")]
+    plain = [F.lit(None).cast("int").alias("rank"), F.lit(None).cast("int").alias("i")]
     if not open_rules.isEmpty():
-        actuals = rows.groupBy(F.col("actual").alias("h")).agg(F.count(F.lit(1)).alias("n"))
+        actuals = written(rows.groupBy(F.col("actual").alias("h")).agg(F.count(F.lit(1)).alias("n")))
         tokens = open_rules.select("rule_id", F.explode("concepts").alias("c")).select("rule_id", token(F.col("c")).alias("needle")).where("needle <> ''")
         some, texts = tokens.select("needle").distinct(), actuals.where("h <> ''").select("h")
         pairs = contained(some, texts).union(contained(texts.withColumnRenamed("h", "needle"), some.withColumnRenamed("needle", "h")).select(F.col("h"), F.col("needle"))).distinct()
-        by_concept = pairs.join(tokens, "needle").select("h", "rule_id", *plain).distinct().groupBy("h").agg(packed).join(actuals, "h").withColumnRenamed("h", "actual")
+        by_concept = written(pairs.join(tokens, "needle").select("h", "rule_id", *plain).distinct().groupBy("h").agg(packed).join(actuals, "h").withColumnRenamed("h", "actual"))
         found.append(joined_by_size(rows, by_concept, "actual", total).drop("n"))
         universal = open_rules.where(F.size("concepts") == 0).select("rule_id", *plain).agg(packed)  # one row
         found.append(rows.join(F.broadcast(universal.where(F.size("found") > 0)), F.lit(True)))
@@ -148,13 +162,12 @@ def scan(rules: DataFrame, sections: DataFrame, articles: DataFrame, definitions
     for more in found[1:]:
         pairs = pairs.unionByName(more)
     pairs = pairs.withColumn("x", F.explode("found")).select("*", "x.*").drop("x", "found")
-    df = pairs.join(rules.select("rule_id", "family_id", "scope_id", "version", "granularity", "phrases", "concepts", "terms", "term_phrases"), "rule_id").where(concept_matches(F.col("concepts"), F.col("actual")))
-    # Of a document's terms only those that some rule expects are gathered.
-    expected = rules.select(F.explode("terms").alias("t")).select(F.lower("t").alias("t")).distinct()
-    present = definitions.select("doc_id", F.lower("term").alias("t")).join(expected, "t", "left_semi").groupBy("doc_id").agg(F.collect_set("t").alias("present"))
-    df = df.join(present, "doc_id", "left")
+    book = rules.select("rule_id", "family_id", "scope_id", "version", "granularity", "phrases", "concepts", "terms", "term_phrases")
+    df = pairs.join(beside(book), "rule_id").where(concept_matches(F.col("concepts"), F.col("actual"))).withColumn("matched_value", F.coalesce(F.get("phrases", F.col("i")), F.lit("")))
+    kind = F.when(F.col("rank").isNull(), "none").when(F.col("rank") == 1, "partial").when(lowered(F.col("matched_value")) == F.col("h"), "exact").otherwise("substring")
+    df = df.withColumn("match_type", kind)
     wanted = F.array_distinct(F.transform("terms", lambda t: F.lower(t)))
-    share = F.size(F.array_intersect(wanted, F.coalesce("present", none))) / F.size(wanted)
+    share = F.size(F.array_intersect(wanted, "present")) / F.size(wanted)
     unknown = F.lit(None).cast("double")
     df = df.withColumns(
         {
@@ -216,7 +229,7 @@ def bulk_run(rules: DataFrame, sections: DataFrame, articles: DataFrame, definit
     ``skip`` for found ones that were unlinked before. Links of other scopes stay as
     they are.
     """
-    rules = written(in_order(latest_rules(rules)))
+    rules = written(in_order(written(latest_rules(rules))))
     raw = written(scan(rules.drop("turn", "parent", "level"), sections, articles, definitions).join(rules.select("rule_id", "turn", "parent", "level"), "rule_id"))
     stored = links.withColumn("clause_key", F.coalesce(F.nullif(F.trim("clause_key"), F.lit("")), F.lit(WHOLE)))
     gone = stored.where("status = 'unlinked'").select(*KEY).distinct()

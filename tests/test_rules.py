@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscope.operators import rules
+from folioscope.plans.stages import written
 
 RULE = "rule_id string, family_id string, scope_id string, version int, status string, parent_family_id string, scope_mode string, granularity string, phrases array<string>, concepts array<string>, terms array<string>, term_phrases array<string>"
 SECTION = "doc_id string, section_number string, article_num int, heading string, char_start int, char_end int"
@@ -118,3 +119,21 @@ def test_empty_book(spark, book):
     assert candidates.count() == 0 and actions.count() == 0
     assert rules.scan(rules.latest_rules(book["rules"]), book["sections"].limit(0), book["articles"], book["definitions"]).count() == 0
     assert rules.token(F.lit("x")) is not None
+
+
+def broadcast_parts(df):
+    """The parts of the plan below each broadcast."""
+    lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    for k, line in enumerate(lines):
+        if (at := line.find("BroadcastExchange")) >= 0:
+            rest = [next((j for j, c in enumerate(x) if c.isalpha() or c == "*"), 0) for x in lines[k + 1 :]]
+            yield "\n".join(lines[k : k + 1 + next((j for j, x in enumerate(rest) if x <= at), len(rest))])
+
+
+def test_exploded_texts_are_never_broadcast(spark):
+    """A written table of texts is small as a file; its runs and words are not."""
+    texts = written(spark.range(300).selectExpr("concat('heading number ', id) AS h"))
+    needles = spark.createDataFrame([("number 7",), ("heading of",)], "needle string")
+    for search in (rules.contained, rules.half_shared):
+        assert not [p for p in broadcast_parts(search(needles, texts)) if "Generate" in p]
+        assert search(needles, texts).count() == {rules.contained: 11, rules.half_shared: 600}[search]
