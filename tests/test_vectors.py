@@ -86,3 +86,20 @@ def test_centres_against_all_rows(spark):
     got = vectors.similar_or_linked(df, cs, links, 5).where("`by` = 'link'").orderBy(F.desc("similarity")).collect()
     assert [tuple(x) for x in got] == [("other", 2, 1.0, "link"), ("other", 1, 0.9, "link")]
     assert vectors.most_similar(df, cs.limit(0), 5).count() == 0 and vectors.most_similar(df.limit(0), cs, 5).count() == 0
+
+
+def test_nearest_in_blocks_equals_all_pairs(spark):
+    """Every row meets every query, with ties by id, in blocks that hold a few rows each, and Python sees blocks, not pairs."""
+    x = np.random.default_rng(5).integers(-2, 3, (60, 4)).astype(float)
+    x[7] = 0.0
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(60, None), (61, [1.0, None, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id int, embedding array<double>")
+    good = np.vstack([x, np.zeros((2, 4))])
+    unit = good / np.where(np.linalg.norm(good, axis=1) > 1e-9, np.linalg.norm(good, axis=1), 1.0)[:, None]
+    cosines = np.round(unit @ unit.T, 6) + 0.0
+    want = {(q, i, cosines[q, i]) for q in range(0, 62, 10) for i in sorted((j for j in range(62) if j != q), key=lambda j: (-cosines[q, j], j))[:5]}
+    for most, size in ((4_000, 4_096), (3, 9)):
+        found = vectors.nearest(df, df.where("vec_id % 10 = 0"), 5, most, size)
+        assert {tuple(r) for r in found.collect()} == want
+        assert "NestedLoopJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert vectors.nearest(df, df.limit(0), 5).count() == 0
