@@ -9,6 +9,7 @@ then, again and again, the row furthest from those chosen, so reruns agree.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,10 +62,38 @@ def first_centres(points: DataFrame, most: int) -> list[list[float]]:
     return out
 
 
-def assigned(centres: dict[int, list[list[float]]]) -> Column:
-    """array<struct<k, c, d>>: for each k the nearest centre, the first of equally near ones, and its squared distance."""
-    near = lambda cs: F.array_min(F.transform(constant(cs), lambda c, i: F.struct(F.round(distance(F.col("p"), c), 12).alias("d"), i.alias("c"))))
-    return F.transform(F.array(*(F.struct(F.lit(k).alias("k"), near(cs).alias("x")) for k, cs in centres.items())), lambda s: F.struct(s["k"].alias("k"), s["x"]["c"].alias("c"), s["x"]["d"].alias("d")))
+def assigned(points: DataFrame, centres: dict[int, list[list[float]]]) -> DataFrame:
+    """(id, p, k, c): for each row and each k the nearest centre, the first of equally near ones."""
+    kept = {k: np.array(cs) for k, cs in centres.items()}
+
+    def near(batches):
+        for batch in batches:
+            p = np.array(batch.column("p").to_pylist(), np.float64)
+            for k, cs in kept.items() if len(p) else ():
+                c = np.round(((p[:, None, :] - cs[None, :, :]) ** 2).sum(axis=2), 12).argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("p"), pa.array(np.full(len(p), k, np.int32)), pa.array(c.astype(np.int32))], names=["id", "p", "k", "c"])
+
+    return points.select("id", "p").mapInArrow(near, f"id {points.schema['id'].dataType.simpleString()}, p array<double>, k int, c int")
+
+
+def moved(points: DataFrame, centres: dict[int, list[list[float]]]) -> DataFrame:
+    """(k, c, n, x): how many rows each centre has and the sums of their values, a row a task and centre, summed."""
+    kept = {k: np.array(cs) for k, cs in centres.items()}
+    d = len(next(iter(centres.values()))[0])
+
+    def partial(batches):
+        sums = {k: np.zeros((len(cs), d + 1)) for k, cs in kept.items()}
+        for batch in batches:
+            p = np.array(batch.column("p").to_pylist(), np.float64)
+            for k, cs in kept.items() if len(p) else ():
+                c = np.round(((p[:, None, :] - cs[None, :, :]) ** 2).sum(axis=2), 12).argmin(axis=1)
+                for i in range(d + 1):
+                    sums[k][:, i] += np.bincount(c, p[:, i] if i < d else None, len(cs))
+        rows = [(k, c, int(x[d]), x[:d].tolist()) for k, all_c in sums.items() for c, x in enumerate(all_c) if x[d]]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float64())))], names=["k", "c", "n", "x"])
+
+    sums = points.select("p").mapInArrow(partial, "k int, c int, n long, x array<double>")
+    return sums.groupBy("k", "c").agg(F.sum("n").alias("n"), F.array(*(F.sum(F.get("x", F.lit(i))) for i in range(d))).alias("x"))
 
 
 def clustered(df: DataFrame, features: list[str], most: int = MOST, components: int = COMPONENTS) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -73,6 +102,7 @@ def clustered(df: DataFrame, features: list[str], most: int = MOST, components:
     The silhouette is that of squared distances, from each cluster's mean and mean square,
     so it takes no pairs. Fewer than six rows, or rows of one value, are one cluster.
     """
+    df = written(df.select("id", *features))  # what the features are taken from is read once
     n = df.limit(6).count()
     scaled = standardised(df, features)
     if n < 6:
@@ -87,14 +117,13 @@ def clustered(df: DataFrame, features: list[str], most: int = MOST, components:
         return labels, df.sparkSession.createDataFrame([], "k int, silhouette double"), described(df, labels, features)
     dims = range(len(axes))
     for _ in range(ROUNDS):
-        moved = points.select("p", F.explode(assigned(centres)).alias("a")).groupBy("a.k", "a.c").agg(*(F.avg(F.get("p", F.lit(i))).alias(f"x{i}") for i in dims)).collect()  # a row for each centre
         after = {k: list(cs) for k, cs in centres.items()}
-        for r in moved:
-            after[r["k"]][r["c"]] = [round(r[f"x{i}"], 9) for i in dims]
+        for r in moved(points, centres).collect():  # a row for each centre
+            after[r["k"]][r["c"]] = [round(x / r["n"], 9) for x in r["x"]]
         if after == centres:
             break
         centres = after
-    placed = points.select("id", "p", F.explode(assigned(centres)).alias("a")).select("id", "p", "a.k", "a.c")
+    placed = written(assigned(points, centres))
     stats = placed.groupBy("k", "c").agg(F.count(F.lit(1)).alias("n"), F.array(*(F.avg(F.get("p", F.lit(i))) for i in dims)).alias("m"), F.avg(dot(F.col("p"), F.col("p"))).alias("s"))
     packed = stats.groupBy("k").agg(F.collect_list(F.struct("c", "n", "m", "s")).alias("all"))  # k centres
     joined = placed.join(F.broadcast(packed), "k")  # a row for each k
@@ -106,7 +135,7 @@ def clustered(df: DataFrame, features: list[str], most: int = MOST, components:
     scores = written(joined.groupBy("k").agg(F.round(F.avg(s), 6).alias("silhouette")))
     best = scores.agg(F.max_by("k", F.struct("silhouette", F.negate("k")))).first()[0]
     labels = written(placed.where(F.col("k") == best).select("id", F.col("c").alias("cluster")))
-    delete(points)
+    delete(points, placed)
     return labels, scores, described(df, labels, features)
 
 

@@ -103,3 +103,17 @@ def test_nearest_in_blocks_equals_all_pairs(spark):
         assert {tuple(r) for r in found.collect()} == want
         assert "NestedLoopJoin" not in found._jdf.queryExecution().executedPlan().toString()
     assert vectors.nearest(df, df.limit(0), 5).count() == 0
+
+
+def test_texts_are_read_once_for_all_rounds(spark):
+    """The features' source is computed once, however many passes and rounds follow."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(40).selectExpr("id", "CAST(id % 7 AS double) AS a", "CAST(id % 3 AS double) AS b").mapInArrow(counted, "id long, a double, b double")
+    assert sum(r["size"] for r in kmeans.clustered(df, ["a", "b"], 3, 2)[2].collect()) == 40
+    assert seen.value == 40
