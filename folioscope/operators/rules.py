@@ -111,14 +111,15 @@ def concept_matches(concepts: Column, actual: Column) -> Column:
 
 
 def exactness(heading: Column, phrases: Column) -> Column:
-    """1 for an equal heading, 0.7 where it contains a phrase, 0.5 where a phrase contains it, 0.3 where a word is shared."""
+    """1 for an equal heading, 0.7 where it contains a phrase, 0.5 where a phrase contains it of which it has half the words, 0.3 where a word is shared."""
     lows = F.filter(F.transform(phrases, lowered), lambda x: x != "")
     words = F.split(heading, "\\s+")
+    half = lambda x: 2 * F.size(F.array_intersect(F.split(x, "\\s+"), words)) >= F.size(F.array_distinct(F.split(x, "\\s+")))
     return (
         F.when(heading == "", 0.0)
         .when(F.exists(lows, lambda x: x == heading), 1.0)
         .when(F.exists(lows, lambda x: heading.contains(x)), 0.7)
-        .when(F.exists(lows, lambda x: x.contains(heading)), 0.5)
+        .when(F.exists(lows, lambda x: x.contains(heading) & half(x)), 0.5)
         .when(F.exists(lows, lambda x: F.arrays_overlap(F.split(x, "\\s+"), words)), 0.3)
         .otherwise(0.0)
     )
@@ -127,12 +128,12 @@ def exactness(heading: Column, phrases: Column) -> Column:
 def scan(rules: DataFrame, sections: DataFrame, articles: DataFrame, definitions: DataFrame) -> DataFrame:
     """One row for each section, or matching definition in it, that a rule finds, with confidence and tier.
 
-    ``rules`` are latest_rules. A rule without phrases takes every section of its
-    concepts, one without either takes all.
+    ``rules`` are latest_rules. A rule that lists no phrase takes every section of its
+    concepts, one without either takes all. One whose phrases are all blank finds none.
     """
     none = F.array().cast("array<string>")
     rules = written(rules.withColumns({c: F.coalesce(c, none) for c in ("phrases", "concepts", "terms", "term_phrases")}))
-    has_phrase = F.exists("phrases", lambda x: lowered(x) != "")
+    has_phrase = F.size("phrases") > 0
     rows = sections.withColumns({"h": lowered(F.coalesce("heading", F.lit("")))}).join(articles.select("doc_id", "article_num", "concept").dropDuplicates(["doc_id", "article_num"]), ["doc_id", "article_num"], "left").withColumn("actual", token(F.col("concept")))
     # Of a document's terms only those that some rule expects are gathered, beside its sections.
     expected = written(rules.select(F.explode("terms").alias("t")).select(F.lower("t").alias("t")).distinct())

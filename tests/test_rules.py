@@ -1,8 +1,10 @@
 """Rule scan and bulk run on a small rule book: matches, inheritance, terms, reconciliation, conflicts, and a rerun."""
 
 import pytest
+from oracle import compare, connect
 from pyspark.sql import functions as F
 
+from folioscope import registry
 from folioscope.operators import rules
 from folioscope.plans.stages import written
 
@@ -137,3 +139,12 @@ def test_exploded_texts_are_never_broadcast(spark):
     for search in (rules.contained, rules.half_shared):
         assert not [p for p in broadcast_parts(search(needles, texts)) if "Generate" in p]
         assert search(needles, texts).count() == {rules.contained: 11, rules.half_shared: 600}[search]
+
+
+def test_blank_phrases_and_unmatched_ones_as_in_sql(spark, tmp_path):
+    """A first line that is blank makes a rule of blank phrases, which finds nothing; a phrase that contains a heading but shares too few words with it gives no score."""
+    docs = [(1, "\nx y\nq", "en", "s"), (2, "x y\nx", "en", "s"), (3, " p q\np", "de", "s"), (4, "a b c d e\nb c\nc", "en", "t"), (5, "z c\nb c", "de", "t")]
+    spark.createDataFrame([(*d, len(d[1])) for d in docs], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = connect(tmp_path)
+    for name in ("rule_scan", "bulk_run_summary"):
+        assert compare(registry.queries()[name](spark, str(tmp_path)), con, registry.oracle_sql()[name]) is None
