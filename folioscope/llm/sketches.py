@@ -133,21 +133,54 @@ def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return only(docs, id_filter(ids, filter_bits(n)), filter_bits(n))
 
 
-SPANS = "doc_id long, row long, spans binary"
+#: Spans as they are found: one row for each part that a task finds some for.
+PACKED = "part int, spans binary"
+#: Spans that a task holds before it packs them.
+HELD = 1 << 20
 
 
-def packed_spans(ids: np.ndarray, rows: np.ndarray, spans: np.ndarray) -> pa.RecordBatch:
-    """One row for each (id, row) with all its spans, eight bytes each."""
+def packed_spans(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], parts: int) -> pa.RecordBatch:
+    """One row for each part that has some of the spans ``found`` (ids, rows, start << 24 | length), as three columns of numbers; a text has one part."""
+    ids, rows, spans = (np.concatenate(x) for x in zip(*found, strict=True))
+    part = (mix(ids.astype(np.uint64) ^ mix(rows.astype(np.uint64))) % np.uint64(parts)).astype(np.int32)
+    order = np.lexsort((spans, rows, ids, part))
+    table, part = np.stack([ids, rows, spans]).astype("<i8")[:, order], part[order]
+    cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+    blobs = [table[:, lo:hi].tobytes() for lo, hi in zip(cut, [*cut[1:], len(part)], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(part[cut], pa.int32()), pa.array(blobs, pa.binary())], names=["part", "spans"])
+
+
+def united(ids: np.ndarray, rows: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, rows, (start, end) pairs): the maximal runs that the spans cover, by id, row and start."""
     order = np.lexsort((spans, rows, ids))
-    ids, rows, spans = ids[order], rows[order], spans[order]
-    new = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (rows[1:] != rows[:-1])]) if len(ids) else np.zeros(0, np.int64)
-    blobs = binary_column(np.ascontiguousarray(spans, "<i8").view(np.uint8), 8 * np.diff(np.r_[new, len(ids)]))
-    return pa.RecordBatch.from_arrays([pa.array(ids[new], pa.int64()), pa.array(rows[new], pa.int64()), blobs], names=["doc_id", "row", "spans"])
+    ids, rows, start = ids[order], rows[order], spans[order] >> 24
+    end = start + (spans[order] & 0xFFFFFF)
+    # Texts follow each other on one line, so that no run goes on into the next text.
+    base = np.cumsum(np.r_[False, (ids[1:] != ids[:-1]) | (rows[1:] != rows[:-1])]) * (int(end.max()) + 1)
+    reach = np.maximum.accumulate(end + base)
+    cut = np.flatnonzero(np.r_[True, (start + base)[1:] > reach[:-1]])
+    last = np.r_[cut[1:], len(ids)] - 1
+    return ids[cut], rows[cut], np.stack([start[cut], reach[last] - base[last]], axis=1)
+
+
+def spans_by_row(packed: DataFrame, parts: int) -> DataFrame:
+    """(doc_id, row, spans), one row for each text, from all ``packed`` spans."""
+
+    @releasing
+    def unite(batches) -> Iterator[pa.RecordBatch]:
+        held = [np.frombuffer(blob.as_buffer(), "<i8").reshape(3, -1) for batch in batches for blob in batch.column("spans")]
+        if held:
+            ids, rows, pairs = united(*np.concatenate(held, axis=1))
+            new = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (rows[1:] != rows[:-1])])
+            blobs = binary_column(np.ascontiguousarray(pairs, "<i8").reshape(-1).view(np.uint8), 16 * np.diff(np.r_[new, len(ids)]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[new], pa.int64()), pa.array(rows[new], pa.int64()), blobs], names=["doc_id", "row", "spans"])
+
+    return packed.repartition(parts, "part").mapInArrow(unite, "doc_id long, row long, spans binary")
 
 
-def spans_in(cell: pa.ListScalar) -> np.ndarray:
-    """The spans of a row that ``with_spans`` has joined."""
-    return np.frombuffer(b"".join(cell.as_py()), "<i8")
+def spans_in(cell: pa.BinaryScalar) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of a row that ``with_spans`` has joined."""
+    return tuple(np.frombuffer(cell.as_buffer(), "<i8").reshape(-1, 2).T)
 
 
 def row_of(text: str = "text"):
@@ -156,10 +189,10 @@ def row_of(text: str = "text"):
 
 
 def with_spans(docs: DataFrame, runs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` with a further column, and its name: the blobs of spans that ``runs`` (doc_id, row, spans) has for the row, or null."""
+    """``docs`` with a further column, and its name: the spans that the written ``runs`` (doc_id, row, spans) has for the row, or null."""
     at, doc, row = (session.fresh(c, docs) for c in ("_spans", "_doc", "_row"))
-    spans = runs.groupBy("doc_id", "row").agg(F.collect_list("spans").alias(at)).withColumnsRenamed({"doc_id": doc, "row": row})
+    spans = runs.withColumnsRenamed({"doc_id": doc, "row": row, "spans": at})
     ids = session.kept_table(runs.select("doc_id").distinct())
     some, others = split_by_ids(docs.where("doc_id is not null"), ids)
     joined = some.join(spans, (F.col("doc_id") == F.col(doc)) & (row_of() == F.col(row)), "left").drop(doc, row)
-    return joined.unionByName(others.unionByName(docs.where("doc_id is null")).withColumn(at, F.lit(None).cast("array<binary>"))), at
+    return joined.unionByName(others.unionByName(docs.where("doc_id is null")).withColumn(at, F.lit(None).cast("binary"))), at

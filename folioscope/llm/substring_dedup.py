@@ -17,7 +17,7 @@ document at an earlier word). Windows are judged on the input.
    the earliest start exactly; a window that the sketch overestimated is alone in
    its group and nothing is lost.
 3. Windows travel in runs under one minimiser, and flagged starts go to their
-   documents in runs as well.
+   documents in runs as well, packed by part of the documents and united there.
 
 The bitmap has 2**bits cells, about 8 for each expected entry, up to ``max_bits``
 (2**30 cells, 128 MB); beyond that only the prefilter weakens. Nothing else is
@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from . import session
 from .arrowtext import binary_column, chunks, mix, releasing, rolling, sliding, text_buffers, word_hashes, word_spans
-from .sketches import KIND, SPANS, cells, merged_sketch, packed_spans, partial_sketch, row_of, seen, sketch_bits, spans_in, with_spans
+from .sketches import HELD, KIND, PACKED, cells, merged_sketch, packed_spans, partial_sketch, row_of, seen, sketch_bits, spans_by_row, spans_in, with_spans
 
 #: Windows that a task holds before it settles and emits them.
 BUFFER = 1 << 18
@@ -112,10 +112,11 @@ def _in_place(ids: np.ndarray, rows: np.ndarray, pos: np.ndarray) -> np.ndarray:
 
 
 def repeated_starts(docs: DataFrame, width: int = 20, max_bits: int = 30) -> DataFrame:
-    """(doc_id, row, spans): runs of words at which a repeated, not first, window starts, by task and row.
+    """(doc_id, row, spans): runs of words at which a repeated, not first, window starts, one row for each text that has any.
 
-    A span is the rank of the run's first word times 2**24, plus its length; ``row`` is
-    ``row_of`` the text, which tells rows of one doc_id apart.
+    ``row`` is ``row_of`` the text, which tells rows of one doc_id apart. Spans are
+    (start, end) ranks of words; on their way they are the rank of a run's first word
+    times 2**24, plus its length.
     """
     spark = docs.sparkSession
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), row_of().alias("row"), "text")
@@ -183,11 +184,15 @@ def repeated_starts(docs: DataFrame, width: int = 20, max_bits: int = 30) -> Dat
 
     @releasing
     def find(batches) -> Iterator[pa.RecordBatch]:
-        held = []
+        held, found, n = [], [], 0
         for batch in batches:
             settled = batch.filter(pa.compute.is_null(batch.column("hashes")))
             if settled.num_rows:
-                yield packed_spans(*(settled.column(c).to_numpy() for c in ("doc_id", "row", "span")))
+                found.append(tuple(settled.column(c).to_numpy() for c in ("doc_id", "row", "span")))
+                n += settled.num_rows
+                if n > HELD:
+                    yield packed_spans(found, parts)
+                    found, n = [], 0
             rest = batch.filter(pa.compute.is_valid(batch.column("hashes")))
             if rest.num_rows:
                 raw, _ = text_buffers(rest.column("hashes"))
@@ -201,12 +206,14 @@ def repeated_starts(docs: DataFrame, width: int = 20, max_bits: int = 30) -> Dat
             order, first = _first_of_each(h1, h2, ids, rows, pos)
             late = order[~first]
             if len(late):
-                yield packed_spans(*(x.to_numpy() for x in known(ids[late], rows[late], pos[late])))
+                found.append(tuple(x.to_numpy() for x in known(ids[late], rows[late], pos[late])))
+        if found:
+            yield packed_spans(found, parts)
 
     emitted = texts.mapInArrow(emit, "key long, doc_id long, row long, span long, hashes binary")
     # Sized so that a task holds a few million windows; the number follows the input.
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), least_tasks)
-    return emitted.repartition(parts, "key").mapInArrow(find, SPANS)
+    return spans_by_row(emitted.repartition(parts, "key").mapInArrow(find, PACKED), parts)
 
 
 def dedup_words(docs: DataFrame, width: int = 20, max_bits: int = 30) -> DataFrame:
@@ -231,11 +238,10 @@ def dedup_words(docs: DataFrame, width: int = 20, max_bits: int = 30) -> DataFra
                 words = text.encode().split() if text else []
                 gone = 0
                 if runs.is_valid and len(words) >= width:
-                    run = spans_in(runs)
-                    at, end = run >> 24, (run >> 24) + (run & 0xFFFFFF) + width - 1
+                    at, end = spans_in(runs)
                     edge = np.zeros(len(words) + 1, np.int64)
                     np.add.at(edge, np.minimum(at, len(words)), 1)
-                    np.add.at(edge, np.minimum(end, len(words)), -1)
+                    np.add.at(edge, np.minimum(end + width - 1, len(words)), -1)
                     keep = np.cumsum(edge[:-1]) == 0
                     gone = len(words) - int(keep.sum())
                     left = list(compress(words, keep.tolist())) if gone else words

@@ -17,7 +17,8 @@ a smaller doc_id. Strings are judged on the input and never cross documents.
    suffix is compared or sorted again. Where a pass first separates neighbours is
    their common prefix; the blocks left after ``width`` bytes, of common prefixes of
    ``width`` throughout, are the repeated intervals, and the least doc_id of a block tells which of its windows go.
-4. Flagged windows go to their documents in runs.
+4. Flagged windows go to their documents in runs: a task packs the runs that it finds
+   into a row for each part of the documents, and a part's runs are united by document.
 
 Stride and depth: transforms hold the two preceding bytes, so ``width`` / 2 passes
 suffice. Strings end in byte 0xFF, which UTF-8 never has.
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 
 from . import session
 from .arrowtext import chunks, gather, inverse, mix, powers, releasing, rolling, sliding, text_buffers
-from .sketches import KIND, SPANS, cells, merged_sketch, packed_spans, partial_sketch, row_of, seen, sketch_bits, spans_in, with_spans
+from .sketches import HELD, KIND, PACKED, cells, merged_sketch, packed_spans, partial_sketch, row_of, seen, sketch_bits, spans_by_row, spans_in, with_spans
 
 WIDTH = 50
 #: Bytes of the sub-windows that minimisers are taken from.
@@ -177,7 +178,7 @@ def _lead(h1: np.ndarray, h2: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray,
 
 
 def repeated_runs(docs: DataFrame, width: int = WIDTH, max_bits: int = 30) -> DataFrame:
-    """(doc_id, row, spans): runs of bytes at which a window starts that an earlier document also has, by task and row."""
+    """(doc_id, row, spans): runs of bytes at which a window starts that an earlier document also has, one row for each text that has any."""
     if width % 2 or width < PART + 1:
         raise ValueError("width must be even and longer than the minimiser's part")
     spark = docs.sparkSession
@@ -272,21 +273,21 @@ def repeated_runs(docs: DataFrame, width: int = WIDTH, max_bits: int = 30) -> Da
                 else:
                     metas.append(rows.reshape(-1, 5))
                     bodies.append(np.frombuffer(body.as_py(), np.uint8))
-                if n > 1 << 20:
-                    yield packed_spans(*np.concatenate(spans).T)
+                if n > HELD:
+                    yield packed_spans([x.T for x in spans], tasks)
                     spans, n = [], 0
         if metas:
             for found in flagged(np.concatenate(metas), np.concatenate(bodies), width):
                 spans.append(found)
                 n += len(found)
-                if n > 1 << 20:
-                    yield packed_spans(*np.concatenate(spans).T)
+                if n > HELD:
+                    yield packed_spans([x.T for x in spans], tasks)
                     spans, n = [], 0
         if n:
-            yield packed_spans(*np.concatenate(spans).T)
+            yield packed_spans([x.T for x in spans], tasks)
 
     emitted = texts.mapInArrow(emit, "bucket int, kind int, meta binary, body binary")
-    return emitted.repartition(tasks, "bucket").mapInArrow(merge, SPANS)
+    return spans_by_row(emitted.repartition(tasks, "bucket").mapInArrow(merge, PACKED), tasks)
 
 
 def flagged(meta: np.ndarray, text: np.ndarray, width: int) -> Iterator[np.ndarray]:
@@ -366,10 +367,10 @@ def dedup_bytes(docs: DataFrame, width: int = WIDTH, max_bits: int = 30) -> Data
                 n_spans = 0
                 n = len(raw)
                 if found.is_valid:
-                    run = spans_in(found)
+                    at, end = spans_in(found)
                     edge = np.zeros(n + 1, np.int64)
-                    np.add.at(edge, np.minimum(run >> 24, n), 1)
-                    np.add.at(edge, np.minimum((run >> 24) + (run & 0xFFFFFF) + width - 1, n), -1)
+                    np.add.at(edge, np.minimum(at, n), 1)
+                    np.add.at(edge, np.minimum(end + width - 1, n), -1)
                     keep = np.cumsum(edge[:-1]) == 0
                     n_spans = int((keep[:-1] & ~keep[1:]).sum()) + int(n > 0 and not keep[0])
                     raw = raw[keep]

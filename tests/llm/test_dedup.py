@@ -59,6 +59,27 @@ def test_runs_fit_beside_their_place():
     assert at.tolist() == [0, (1 << 24) - 1, n] and lengths.tolist() == [(1 << 24) - 1, 6, 3]
 
 
+@pytest.mark.parametrize("find", [suffix_dedup.repeated_runs, substring_dedup.repeated_starts])
+def test_one_row_of_spans_for_each_text(odd, find):
+    """However many tasks find spans of a text, they are united in one row."""
+    assert find(odd).groupBy("doc_id", "row").count().where("count > 1").count() == 0
+
+
+@given(st.lists(st.tuples(st.integers(-2, 2), st.integers(0, 1), st.integers(0, 30), st.integers(1, 6)), min_size=1, max_size=40), st.integers(1, 3))
+def test_packed_spans_are_united(found, parts):
+    ids, rows, at, lengths = np.array(found).T
+    some = [(x[0], x[1], x[2] << 24 | x[3]) for x in (np.stack([ids, rows, at, lengths])[:, k::2] for k in (0, 1)) if x.size]
+    packed = sketches.packed_spans(some, parts)
+    assert packed.num_rows <= parts
+    got = []
+    for blob in packed.column("spans"):
+        i, r, pairs = sketches.united(*np.frombuffer(blob.as_py(), "<i8").reshape(3, -1))
+        got += list(zip(i.tolist(), r.tolist(), *pairs.T.tolist(), strict=True))
+    covered = {(i, r, k) for i, r, a, n in found for k in range(a, a + n)}
+    assert sorted((i, r, k) for i, r, a, b in got for k in range(a, b)) == sorted(covered)
+    assert all((i, r, b) not in covered for i, r, _, b in got)
+
+
 def test_links_of_rows_alone_in_salt_zero(spark, monkeypatch):
     """Pairs that share hot keys only, one of the two being the single row of salt 0."""
     monkeypatch.setattr(jaccard_join, "HOT", 1)
