@@ -13,7 +13,8 @@ text); two documents link when ``100 * intersection >= percent * union``.
    its predecessor and the group's first. The partner that a document meets most
    often in either way is checked. Groups of copies fall together here with as many
    checks as documents, not pairs.
-4. Only elements whose documents are still in several components go on, and of the
+4. Only elements whose documents are still in several components go on, of their rows
+   those in a tile of the last round that has both sides and several components, and of the
    elements that have the same documents only the first in the order: a pair that
    shares one of them shares them all. In a few more rounds each document meets the
    ones beside it in other orders, so that what is left of a large group of near
@@ -242,14 +243,18 @@ def _shorter(n: Column, percent: int) -> Column:
     return n - F.floor((2 * percent * n + (both - 1)) / both) + 1
 
 
+def _own(percent: int) -> Column:
+    """``_band`` of the column n."""
+    return F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
+
+
 def tiled(mixed: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that share an element of ``mixed`` and that places and bitmaps don't rule out.
 
     ``mixed`` has (key, doc_id, n, pos, c). Tiles and blocks are planned on these small
     rows; the bitmaps join them last.
     """
-    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
-    rows = mixed.select("key", "doc_id", F.col("n").cast("long").alias("n"), "pos", "c", band.alias("own"))
+    rows = mixed.select("key", "doc_id", F.col("n").cast("long").alias("n"), "pos", "c", _own(percent).alias("own"))
     size = F.greatest(F.lit(BITMAP_BITS), F.pow(F.lit(2.0), F.ceil(F.log2(F.pow(F.lit(100 / percent), F.col("band") + 1) * 4)))) / 8
     each = F.least(F.lit(BLOCK_ROWS), F.greatest(F.lit(16), F.floor(BLOCK_BYTES / size)))
     blocks = rows.select("key", F.explode(F.array("own", F.col("own") + 1)).alias("band")).groupBy("key", "band").agg(F.count(F.lit(1)).alias("m"))
@@ -298,14 +303,27 @@ def _labels(rows: DataFrame, sure: DataFrame) -> DataFrame:
     return rows.join(sure, F.col("doc_id") == F.col("id"), "left").withColumn("c", F.coalesce("component", "doc_id")).drop("id", "component")
 
 
+def _live(rows: DataFrame, percent: int) -> DataFrame:
+    """The rows in a tile (see ``tiled``) that has a shorter and a longer side and several components; a pair that may link shares its first element there."""
+    rows = rows.withColumns({"_own": _own(percent), "_short": F.col("pos") < _shorter(F.col("n").cast("long"), percent)})
+    own = F.struct(F.col("_own").alias("band"), F.col("_short").alias("short"), F.lit(True).alias("long"))
+    above = F.when(F.col("_short"), F.struct((F.col("_own") + 1).alias("band"), F.lit(True).alias("short"), F.lit(False).alias("long")))
+    tiles = rows.select("key", "c", F.explode(F.array_compact(F.array(own, above))).alias("t")).groupBy("key", "t.band")
+    tiles = tiles.agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("t.short").alias("short"), F.max("t.long").alias("long")).where("lo <> hi and short and long")
+    bands = tiles.groupBy("key").agg(F.collect_set("band").alias("_bands"))  # bands rise with the logarithm of sizes, so a key has few
+    return rows.join(bands, "key").where(F.array_contains("_bands", F.col("_own")) | (F.col("_short") & F.array_contains("_bands", F.col("_own") + 1))).drop("_own", "_short", "_bands")
+
+
 def _several(rows: DataFrame, percent: int) -> DataFrame:
     """Rows of the elements whose documents are in several components; of elements with the same documents, the first.
 
-    Rows without another row of the element that their size lets link are left out first.
+    Rows without another row of the element that their size lets link, and those that no
+    tile can pair, are left out first.
     """
     by_size = W.partitionBy("key").orderBy("n", "doc_id")
     rows = rows.withColumns({"_less": F.lag("n").over(by_size), "_more": F.lead("n").over(by_size)})
     rows = rows.where((100 * F.col("_less") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("_more"))).drop("_less", "_more")
+    rows = _live(rows, percent)
     flipped = F.col("key").bitwiseXOR(F.lit(-(2**63)))  # the order of keys is that of unsigned numbers
     keys = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y")).where("lo <> hi")
     first = keys.groupBy("m", "x", "y").agg(F.min(flipped).alias("key")).select(flipped.alias("key"))

@@ -149,6 +149,13 @@ def test_a_large_group_of_near_copies(spark, monkeypatch):
     assert ids_of(jaccard_join.near_duplicates(frame(spark, rows)), "n_shingles", "component_id") == brute.jaccard_components(rows)
 
 
+def test_rows_that_no_tile_can_pair_go(spark):
+    """Of 100 elements, a shorter partner shares one of its first eleven; key 1 has such a row, key 2 hasn't, key 3 has one component, key 4 a size apart."""
+    rows = [(1, 1, 100, 10, 1), (1, 2, 100, 15, 2), (2, 3, 100, 15, 3), (2, 4, 100, 16, 4), (3, 5, 100, 1, 5), (3, 6, 100, 2, 5), (4, 7, 100, 1, 7), (4, 8, 100, 2, 7), (4, 9, 200, 3, 9)]
+    got = jaccard_join._several(spark.createDataFrame(rows, "key long, doc_id long, n int, pos int, c long"), 80)
+    assert sorted((r["key"], r["doc_id"]) for r in got.collect()) == [(1, 1), (1, 2)]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text("ab", min_size=0, max_size=60), min_size=1, max_size=8), st.integers(1, 5))
 def test_merged_transforms_find_repeats(texts, shards):
