@@ -23,3 +23,11 @@ def test_keywords_have_three_tiers(spark):
     assert {(g, r) for g, r, tier in got if tier == "anchor"} == set(most.items())
     assert [g for g, _, tier in got if tier == "specific"] == ["cross_default", "cross_default non-core", "non-core", "non-core often", "often"]
     assert not [g for g, _, tier in got if tier == "section"]
+
+
+def test_profile_shuffles_counts_only(spark):
+    """Sections count with or without words; what is shuffled has no section in it."""
+    rows = [(1, 1, "alpha beta alpha ab", True), (1, 2, None, True), (1, 3, "", True), (2, 1, "gamma alpha", False)]
+    out = discovery.family_profile(spark.createDataFrame(rows, "doc_id long, section_number long, text string, target boolean"))
+    assert {tuple(r) for r in out.collect()} == {(True, 3, 3, 2, 0.666667), (False, 1, 2, 2, 1.0)}
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
