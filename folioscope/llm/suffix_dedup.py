@@ -87,18 +87,21 @@ def shard_transform(text: np.ndarray, begin: np.ndarray, size: np.ndarray, width
     ``begin`` and ``size`` give for each byte the start and length of its string;
     contexts run around within a string. Sorted by prefix doubling.
     """
-    at = np.arange(len(text))
-    around = lambda k: begin + (at - begin + k) % size
-    rank = text.astype(np.int64)
-    reach = 1
+    inner = np.arange(len(text)) - begin
+    around = lambda k: begin + (inner + k) % size
+    # The first sort takes eight bytes at once; each one after it doubles the reach.
+    key = np.zeros(len(text), np.uint64)
+    for k in range(8):
+        key = key << np.uint64(8) | text[around(k)]
+    reach = 8
     while reach < width:
-        key = rank << 32 | rank[around(reach)]
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ordered = key[order]
         rank = np.empty(len(text), np.int64)
         rank[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
+        key = rank << 32 | rank[around(reach)]
         reach *= 2
-    order = np.argsort(rank, kind="stable")
+    order = np.argsort(key, kind="stable")
     before = text[around(-2)].astype(np.uint16) << 8 | text[around(-1)]
     return order, before[order]
 
@@ -116,7 +119,7 @@ def merged_transforms(transforms: list[np.ndarray], width: int) -> tuple[np.ndar
     new = np.zeros(len(shard), bool)
     for _ in range(0, width, 2):
         for s, t in enumerate(transforms):
-            symbols[shard == s] = t
+            symbols[np.flatnonzero(shard == s)] = t
         order = np.argsort(symbols, kind="stable")
         shard, block, ordered = shard[order], block[order], symbols[order]
         new[0] = True
@@ -124,7 +127,7 @@ def merged_transforms(transforms: list[np.ndarray], width: int) -> tuple[np.ndar
         new[1:] |= block[1:] != block[:-1]
         block = np.cumsum(new, dtype=np.int32)
         # Blocks keep their places as they are refined, so a place counts until it first parts two blocks.
-        common[~new] += 2
+        common += (~new).view(np.int8) * np.int8(2)
     return shard, block, common
 
 

@@ -173,6 +173,18 @@ def test_merged_transforms_find_repeats(texts, shards):
     assert got.tolist() == want
 
 
+def test_a_shard_is_sorted_four_times(monkeypatch):
+    """Eight bytes first, then doubled to 64; the same order as by all the bytes around."""
+    rng, sorts, plain = np.random.default_rng(3), [], np.argsort
+    text = rng.integers(97, 100, 60 * 20).astype(np.uint8)
+    begin, size = np.repeat(np.arange(20) * 60, 60), np.full(1200, 60)
+    monkeypatch.setattr(np, "argsort", lambda *a, **k: sorts.append(1) or plain(*a, **k))
+    order, before = suffix_dedup.shard_transform(text, begin, size, 50)
+    around = lambda i, n: bytes(text[begin[i] + (i - begin[i] + np.arange(n)) % 60])
+    assert len(sorts) == 4 and [around(i, 64) for i in order] == sorted(around(i, 64) for i in range(1200))
+    assert all(int(b).to_bytes(2, "big") == around(i, 60)[-2:] for i, b in zip(order, before, strict=True))
+
+
 def test_common_prefixes_of_merged_transforms():
     strings = [b"banana", b"bandana", b"cabana"]
     text = np.frombuffer(b"".join(s + b"\xff" for s in strings), np.uint8)
