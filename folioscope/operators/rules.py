@@ -5,7 +5,8 @@ phrase that a heading contains shares its rarest run of three characters with it
 of which half the words occur shares one of its rarest words, so that only such pairs are
 looked at. Articles and documents are joined afterwards, parents come before children,
 and one full outer join of the found keys with the stored ones says what to create, keep
-and unlink.
+and unlink. Sides that grow with the input are merged: a side that is small in compressed
+form would be broadcast through the driver, where it is many times as large.
 
 Columns: rules (rule_id, family_id, scope_id, version, status, parent_family_id,
 scope_mode, granularity, phrases, concepts, terms, term_phrases); sections (doc_id,
@@ -134,14 +135,14 @@ def scan(rules: DataFrame, sections: DataFrame, articles: DataFrame, definitions
     none = F.array().cast("array<string>")
     rules = written(rules.withColumns({c: F.coalesce(c, none) for c in ("phrases", "concepts", "terms", "term_phrases")}))
     has_phrase = F.size("phrases") > 0
-    rows = sections.withColumns({"h": lowered(F.coalesce("heading", F.lit("")))}).join(articles.select("doc_id", "article_num", "concept").dropDuplicates(["doc_id", "article_num"]), ["doc_id", "article_num"], "left").withColumn("actual", token(F.col("concept")))
+    rows = sections.withColumns({"h": lowered(F.coalesce("heading", F.lit("")))}).join(articles.select("doc_id", "article_num", "concept").dropDuplicates(["doc_id", "article_num"]).hint("merge"), ["doc_id", "article_num"], "left").withColumn("actual", token(F.col("concept")))
     # Of a document's terms only those that some rule expects are gathered, beside its sections.
     expected = written(rules.select(F.explode("terms").alias("t")).select(F.lower("t").alias("t")).distinct())
     if expected.isEmpty():
         rows = rows.withColumn("present", none)
     else:
         present = definitions.select("doc_id", F.lower("term").alias("t")).join(beside(expected), "t", "left_semi").groupBy("doc_id").agg(F.collect_set("t").alias("present"))
-        rows = rows.join(present, "doc_id", "left").withColumn("present", F.coalesce("present", none))
+        rows = rows.join(present.hint("merge"), "doc_id", "left").withColumn("present", F.coalesce("present", none))
     rows = written(rows)
     total = rows.count()
     packed = F.collect_list(F.struct("rule_id", "rank", "i")).alias("found")  # at most the rules
@@ -243,14 +244,14 @@ def bulk_run(rules: DataFrame, sections: DataFrame, articles: DataFrame, definit
             bound = now.where("parent is not null")
             # What the parent has linked by the rule's turn: by its earlier rules of this run, and by stored links of scopes without such a rule.
             earlier = rules.select(F.col("rule_id").alias("child"), "parent", F.col("turn").alias("at")).where("parent is not null").join(rules.select(F.col("family_id").alias("parent"), "scope_id", F.col("turn").alias("before"), F.col("rule_id").alias("by")), "parent").where("before < at")
-            own = [x.where("tier <> 'low'").join(gone, KEY, "left_anti").select(F.col("rule_id").alias("by"), *place) for x in done]
+            own = [x.where("tier <> 'low'").join(gone.hint("merge"), KEY, "left_anti").select(F.col("rule_id").alias("by"), *place) for x in done]
             scope = None
             for x in own:
                 scope = x if scope is None else scope.unionByName(x)
             kept = stored.where("status <> 'unlinked'").select(F.col("family_id").alias("parent"), "scope_id", *place)
             kept = kept.join(rules.where("parent is not null").select("parent", F.col("rule_id").alias("child")), "parent").join(earlier.select("child", "scope_id"), ["child", "scope_id"], "left_anti").select(F.col("child").alias("rule_id"), *place)
             allowed = kept if scope is None else kept.unionByName(scope.join(earlier.select("child", "by"), "by").select(F.col("child").alias("rule_id"), *place))
-            free = free.unionByName(bound.join(allowed.distinct(), ["rule_id", *place], "left_semi").select(*free.columns))
+            free = free.unionByName(bound.join(allowed.distinct().hint("merge"), ["rule_id", *place], "left_semi").select(*free.columns))
         done.append(written(free))
     candidates = done[0]
     for x in done[1:]:
@@ -288,7 +289,7 @@ def run_conflicts(candidates: DataFrame, links: DataFrame, matrix: DataFrame) ->
     own = candidates.select("rule_id", "family_id", "turn", "doc_id", "section_number").distinct()
     stored = links.where("status = 'active'").select(F.col("family_id").alias("other_family"), F.lit(None).cast(own.schema["turn"].dataType).alias("other_turn"), "doc_id", "section_number")
     others = own.select(F.col("family_id").alias("other_family"), F.col("turn").alias("other_turn"), "doc_id", "section_number").unionByName(stored).distinct()
-    pairs = own.join(others, ["doc_id", "section_number"]).where((F.col("family_id") != F.col("other_family")) & (F.col("other_turn").isNull() | (F.col("other_turn") < F.col("turn"))))
+    pairs = own.join(others.hint("merge"), ["doc_id", "section_number"]).where((F.col("family_id") != F.col("other_family")) & (F.col("other_turn").isNull() | (F.col("other_turn") < F.col("turn"))))
     pairs = pairs.select("rule_id", "doc_id", "section_number", "other_family", F.least("family_id", "other_family").alias("a"), F.greatest("family_id", "other_family").alias("b")).distinct()
     return pairs.join(matrix.where(F.col("policy").isin(*CONFLICTING)).select("a", "b", "policy"), ["a", "b"]).select("rule_id", "doc_id", "section_number", "other_family", "policy")
 
@@ -303,7 +304,7 @@ def run_summary(candidates: DataFrame, actions: DataFrame) -> DataFrame:
 def _inputs(spark, d) -> dict[str, DataFrame]:
     """Rules and stored links that stand in for a rule book: phrases and scopes of each source, and of each language in it."""
     docs = v.table(spark, d, "documents").select("doc_id", F.col("lang"))
-    s = v.sections(spark, d).join(docs, "doc_id").select("doc_id", "section_number", "article_num", "heading", F.col("template_family").alias("src"), "lang")
+    s = v.sections(spark, d).join(docs.hint("merge"), "doc_id").select("doc_id", "section_number", "article_num", "heading", F.col("template_family").alias("src"), "lang")
     firsts = s.where("section_number = 1")
     starts = lambda c, n: F.array_join(F.slice(F.split(c, " "), 1, n), " ")
     empty = F.array().cast("array<string>")

@@ -148,3 +148,13 @@ def test_blank_phrases_and_unmatched_ones_as_in_sql(spark, tmp_path):
     con = connect(tmp_path)
     for name in ("rule_scan", "bulk_run_summary"):
         assert compare(registry.queries()[name](spark, str(tmp_path)), con, registry.oracle_sql()[name]) is None
+
+
+def test_conflicts_send_no_growing_side_to_the_driver(spark):
+    """Only the matrix, a table of rules, may be broadcast; others are merged however small they are."""
+    turn = "struct<depth: int, family_id: string, v: int, rule_id: string>"
+    own = spark.createDataFrame([("r1", "a", (0, "a", 0, "r1"), "d", "1"), ("r2", "b", (0, "b", 0, "r2"), "d", "1")], f"rule_id string, family_id string, turn {turn}, doc_id string, section_number string")
+    links, matrix = spark.createDataFrame([("l", "c", "c", "d", "1", "", "active")], LINK), spark.createDataFrame([("a", "b", "warn"), ("a", "c", "exclusive")], "a string, b string, policy string")
+    out = rules.run_conflicts(own, links, matrix)
+    assert {tuple(r) for r in out.collect()} == {("r2", "d", "1", "a", "warn"), ("r1", "d", "1", "c", "exclusive")}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("rightHint=(strategy=merge)") == 1
